@@ -67,14 +67,15 @@ def slices(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the rows, and for each row where its words begin (and the end)."""
+def word_hashes(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the rows, and for each row where its words begin (and the end).
+    space: which of the 256 bytes separate words."""
     n = len(data)
     rows = len(off) - 1
     if not n:
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     low = _LOWER[data]
-    solid = ~_SPACE[low]
+    solid = ~space[low]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
     before = np.empty(n, dtype=bool)
