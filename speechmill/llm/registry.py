@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toolcalls", "pii", "bpe", "fingerprint"]
+MODULES = ["toolcalls", "ngram_join", "pii", "decontam", "quality", "html_text", "bpe", "langid", "lines", "fingerprint"]
 
 
 def _gather(attribute: str) -> dict:
