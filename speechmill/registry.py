@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from speechmill.plans import aggregate_queries, order_queries, table_queries, text_queries  # noqa: F401  they register
+from speechmill.plans.base import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
