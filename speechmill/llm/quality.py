@@ -32,6 +32,8 @@ from speechmill.llm.shingles import string_buffer
 
 WIDTH, STRIDE, FILTERS, CHUNK = 8, 2, 32, 128
 CHUNK_BYTES = CHUNK * STRIDE
+#: Windows at the end of a document that would reach beyond it.
+SPARE = (WIDTH - 1) // STRIDE
 TRAIN_PER_CLASS = 1500
 TRAIN_CHUNKS = 12
 EPOCHS = 14
@@ -44,7 +46,7 @@ Model = dict[str, np.ndarray]
 
 
 def _chunks_of(lengths: np.ndarray) -> np.ndarray:
-    """Chunks of each document: its last window must not reach into the next document."""
+    """Chunks of each document: no window that counts reaches into the next document."""
     return np.maximum(1, -(-(lengths + WIDTH - STRIDE) // CHUNK_BYTES))
 
 
@@ -66,7 +68,7 @@ def _responses(model: Model, buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for j in range(1, WIDTH):
         out += np.take(model["taps"][j], buf[j : j + n * STRIDE : STRIDE][:n], axis=0)
     out = out.reshape(-1, CHUNK, FILTERS)
-    out[ends, CHUNK - 1] = -np.inf
+    out[ends, CHUNK - SPARE :] = -np.inf
     return out
 
 
@@ -155,7 +157,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = EPO
             z = np.take(model["taps"][0], block[:, 0 : CHUNK * STRIDE : STRIDE], axis=0)
             for j in range(1, WIDTH):
                 z += np.take(model["taps"][j], block[:, j : j + CHUNK * STRIDE : STRIDE], axis=0)
-            z[np.array(ends), CHUNK - 1] = -np.inf
+            z[np.array(ends), CHUNK - SPARE :] = -np.inf
             win = z.argmax(axis=1)
             pooled = np.take_along_axis(z, win[:, None, :], axis=1)[:, 0]
             at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
