@@ -34,3 +34,9 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return DATA
+
+
+@pytest.fixture(scope="session")
+def spark_session(spark):
+    """The same session under a name that property tests may use across examples."""
+    return spark
