@@ -144,4 +144,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_pii": op3_pii}
-ORACLE: dict[str, str] = {}
+#: The added kinds are left out: the SQL holds for tables without them.
+ORACLE = {
+    "op3_pii": r"""
+WITH m AS (
+  SELECT doc_id, 1 AS no, 'email' AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM documents UNION ALL
+  SELECT doc_id, 2, 'ip', regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM documents UNION ALL
+  SELECT doc_id, 3, 'card', regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), string_split_regex(text, '[0-9]([\x20-]?[0-9])+') FROM documents UNION ALL
+  SELECT doc_id, 4, 'phone', regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM documents),
+x AS (SELECT doc_id, no, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, no, kind, m[i] AS t, regexp_replace(m[i], '[^0-9]', '', 'g') AS d,
+    CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS b FROM x),
+ok AS (
+  SELECT doc_id, no, kind, b, kind || ':' || b || ':' || (b + length(t)) AS span FROM s WHERE CASE kind
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(t, '.'), lambda z: coalesce(TRY_CAST(z AS HUGEINT), 999) <= 255))
+    WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(d), ''), lambda c, j: CASE WHEN j % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 ELSE true END),
+o AS (SELECT doc_id, string_agg(span, ',' ORDER BY no, b) AS spans, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p FROM ok GROUP BY 1)
+SELECT d.doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN o USING (doc_id)
+"""
+}

@@ -2,8 +2,7 @@ from __future__ import annotations
 
 import json
 
-from speechmill.llm import registry, toolcalls
-from tests.oracle import differences
+from speechmill.llm import toolcalls
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after string"
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -63,6 +62,3 @@ def test_turns_with_nulls_and_repeats(spark):
     assert len(out) == 5
 
 
-def test_query_equals_sql(spark, sf_dir):
-    name = "op1_tool_calls"
-    assert differences(registry.queries()[name](spark, sf_dir), registry.oracle_sql()[name], sf_dir) == ""
