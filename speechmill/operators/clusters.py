@@ -8,8 +8,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechmill.operators.vectors import distance
-
 
 def mode_clusters(df: DataFrame, label: str, cluster: str, noise: int = -1) -> DataFrame:
     """(label, mode_cluster): the most frequent cluster of a label other than noise, ties to the smallest."""
@@ -150,5 +148,29 @@ def spectral(df: DataFrame, key: str, vector: str, **parameters) -> DataFrame:
     return df.join(table, key)
 
 
-def uncertainty(df: DataFrame, vector: str, centre: str) -> Column:
-    return distance(vector, centre)
+def discriminant_axes(df: DataFrame, vector: str, label: str, dimensions: int, ridge: float = 1e-3) -> np.ndarray:
+    """[input, output]: the linear discriminant axes of labelled vectors. Sums, counts and products are
+    aggregated over Spark; the matrices on the driver have the size of the vectors."""
+    cells = df.where(F.col(label).isNotNull()).select(label, F.col(vector).cast("array<double>").alias("v"))
+    size = cells.select(F.size("v").alias("n")).first()["n"]
+    means = cells.select(label, F.posexplode("v").alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"), F.count("*").alias("n")).collect()
+    products = cells.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).where("j >= i").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
+    total = np.zeros((size, size))
+    for r in products:
+        total[r["i"], r["j"]] = total[r["j"], r["i"]] = r["s"]
+    by: dict = {}
+    for r in means:
+        by.setdefault(r[label], [np.zeros(size), r["n"]])[0][r["i"]] = r["m"]
+    n = sum(c for _, c in by.values())
+    grand = sum(m * c for m, c in by.values()) / n
+    between = sum(c * np.outer(m - grand, m - grand) for m, c in by.values())
+    within = total - sum(c * np.outer(m, m) for m, c in by.values())
+    low = np.linalg.cholesky(within + ridge * np.trace(within) / size * np.eye(size))
+    inverse = np.linalg.inv(low)
+    values, vectors = np.linalg.eigh(inverse @ between @ inverse.T)
+    return inverse.T @ vectors[:, np.argsort(values)[::-1][:dimensions]]
+
+
+def shuffled_take(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` rows in random order; the limit is the feature."""
+    return df.orderBy(F.rand(seed)).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechmill.plans import aggregate_queries, order_queries, table_queries, text_queries  # noqa: F401  they register
+from speechmill.plans import aggregate_queries, align_queries, order_queries, table_queries, text_queries  # noqa: F401  they register
 from speechmill.plans.base import ORACLE, QUERIES
 
 

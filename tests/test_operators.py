@@ -146,3 +146,15 @@ def test_embed_keeps_rows_that_fail(spark):
     df = spark.createDataFrame([(1, bytearray(b"ab")), (2, bytearray(b""))], "utterance_id long, samples binary")
     got = {r["utterance_id"]: r["speaker_embedding"] for r in corpus.embed(df, lambda c: [c[0], c[1]]).collect()}
     assert got == {1: [97.0, 98.0], 2: None}
+
+
+def test_discriminant_axes_separate_labels(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"c{y}", (rng.normal(size=5) + np.eye(5)[y] * 6).tolist()) for y in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "y string, v array<double>")
+    axes = clusters.discriminant_axes(df, "v", "y", 2)
+    x = np.array([r[1] for r in rows]) @ axes
+    centres = np.stack([x[i * 40 : (i + 1) * 40].mean(axis=0) for i in range(3)])
+    found = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (found == np.repeat(range(3), 40)).mean() > 0.97
+    assert clusters.shuffled_take(df, 7, 1).count() == 7
