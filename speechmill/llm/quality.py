@@ -4,7 +4,8 @@ Learned filters of ``WIDTH`` bytes slide with stride ``STRIDE`` (so neighbouring
 over the UTF-8 bytes of the whole document. Each filter is a table of one weight per tap and byte
 value, which is a convolution over one-hot bytes done as look-ups. The responses are max-pooled in
 chunks of ``CHUNK`` windows; the squashed chunk maxima are combined, as their mean and their
-maximum over all chunks, into one probability. Training is Adam on the weighted log loss with the
+maximum over all chunks, into one probability. Maxima of short texts are lower by nature, which
+terms that fade with the number of bytes make up for. Training is Adam on the weighted log loss with the
 gradient through the windows that won their chunk.
 
 Training rows are a bounded sample: at most ``TRAIN_PER_CLASS`` labelled rows of each class, those of
@@ -39,6 +40,8 @@ TRAIN_CHUNKS = 12
 EPOCHS = 14
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
+#: Bytes over which the terms for short texts fade.
+FADES = np.array([24.0, 96.0, 384.0])
 #: Bytes scored at once, so that the responses stay in the cache.
 SLICE_BYTES = 1 << 16
 
@@ -79,6 +82,14 @@ def _combine(model: Model, pooled: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return act, mean, most
 
 
+def _shortness(n_bytes: np.ndarray) -> np.ndarray:
+    return np.exp(-np.asarray(n_bytes, dtype=float)[:, None] / FADES)
+
+
+def _probability(model: Model, mean: np.ndarray, most: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    return _sigmoid(mean @ model["of_mean"] + most @ model["of_max"] + _shortness(n_bytes) @ model["of_shortness"] + model["offset"][0])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -100,7 +111,7 @@ def predict(model: Model, column: pa.Array) -> np.ndarray:
             buf, at = _lay_out(data, off, first, last)
             pooled = _responses(model, buf, at[1:] - 1).max(axis=1)
             _, mean, most = _combine(model, pooled, at)
-            scores[first:last] = _sigmoid(mean @ model["of_mean"] + most @ model["of_max"] + model["offset"][0])
+            scores[first:last] = _probability(model, mean, most, np.diff(off[first : last + 1]))
         first = last
     return scores
 
@@ -115,7 +126,7 @@ def _predict_long(model: Model, doc: np.ndarray) -> float:
         ends = np.array([d - c - 1] if d == n else [], dtype=np.int64)
         pooled.append(_responses(model, buf[c * CHUNK_BYTES : d * CHUNK_BYTES + WIDTH], ends).max(axis=1))
     _, mean, most = _combine(model, np.concatenate(pooled), np.array([0, n]))
-    return float(_sigmoid(mean @ model["of_mean"] + most @ model["of_max"] + model["offset"][0])[0])
+    return float(_probability(model, mean, most, np.array([len(doc)]))[0])
 
 
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -128,6 +139,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = EPO
         "bias": np.full(FILTERS, -1.5, np.float32),
         "of_mean": rng.normal(0, 0.3, FILTERS).astype(np.float32),
         "of_max": rng.normal(0, 0.3, FILTERS).astype(np.float32),
+        "of_shortness": np.zeros(len(FADES), np.float32),
         "offset": np.zeros(1, np.float32),
     }
     model["taps"][:, 0] = 0
@@ -162,12 +174,13 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = EPO
             pooled = np.take_along_axis(z, win[:, None, :], axis=1)[:, 0]
             at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
             act, mean, most = _combine(model, pooled, at)
-            p = _sigmoid(mean @ model["of_mean"] + most @ model["of_max"] + model["offset"][0])
+            n_bytes = off[rows + 1] - off[rows]
+            p = _probability(model, mean, most, n_bytes)
             g = ((p - y[rows]) * weight[rows] / weight[rows].sum()).astype(np.float32)
             top = act >= most[owner]
             d_act = g[owner, None] * (model["of_mean"] / np.diff(at)[owner, None] + model["of_max"] * top)
             d_z = d_act * (1 - act * act)
-            grads = {"of_mean": mean.T @ g, "of_max": most.T @ g, "offset": np.array([g.sum()]), "bias": d_z.sum(axis=0), "taps": np.empty_like(model["taps"])}
+            grads = {"of_mean": mean.T @ g, "of_max": most.T @ g, "of_shortness": _shortness(n_bytes).T @ g, "offset": np.array([g.sum()]), "bias": d_z.sum(axis=0), "taps": np.empty_like(model["taps"])}
             chunk = np.arange(len(block))[:, None]
             for j in range(WIDTH):
                 cell = block[chunk, win * STRIDE + j].astype(np.int64) * FILTERS + np.arange(FILTERS)
