@@ -6,10 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bits of a filter of join keys.
+FILTER_BITS = 1 << 24
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -66,3 +69,27 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def seen_in(df: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A Bloom filter of a column, as a predicate that is true for all its values and for few others.
+
+    Rows without a partner are left out by it before a join shuffles them; the join itself decides. The
+    bits are built by aggregates, are at most FILTER_BITS / 8 bytes, and reach the tasks as the value of
+    a scalar subquery. Beyond that size the filter lets more rows pass, never fewer."""
+    bits = 1 << min(max((16 * df.count()).bit_length(), 12), FILTER_BITS.bit_length() - 1)
+    in_block = min(1024, bits >> 6)
+    b = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = df.select(b.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("set"))
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("word") % in_block).cast("int").alias("k"), F.col("set").alias("v"))))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(in_block - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long")))
+    blocks = words.groupBy(F.floor(F.col("word") / in_block).alias("block")).agg(cells.alias("m")).select("block", filled.alias("row"))
+    every = df.sparkSession.range((bits >> 6) // in_block).withColumnRenamed("id", "block").join(blocks, "block", "left")
+    rows = every.select("block", F.coalesce("row", F.array_repeat(F.lit(0).cast("long"), in_block)).alias("row"))
+    table = staged(rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "row"))), lambda r: r["row"])).alias("t")), "filter")
+
+    def predicate(c: Column) -> Column:
+        slot = F.pmod(F.xxhash64(c), F.lit(bits))
+        return F.getbit(F.get(table.scalar(), F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return predicate

@@ -26,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import staged, table, without
+from speechmill.llm.common import seen_in, staged, table, without
 
 MIN_EXACT = 3
 MIN_NEAR = 5
+#: Most bytes of positions that are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def _word_count(line: Column) -> Column:
@@ -69,22 +71,22 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     distinct: first struct<doc_id, pos> of each distinct line, with its half keys."""
     keys = distinct.select("first", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    places = keys.join(shared, "key").select("first").distinct()
-    per_doc = places.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("at"))
-    split = docs.select("doc_id", F.split("text", "\n", -1).alias("all")).join(per_doc, "doc_id").select("doc_id", "all", F.explode("at").alias("pos"))
+    shared = staged(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "halves")
+    places = keys.where(seen_in(shared, "key")(F.col("key"))).join(shared, "key").select("first").distinct()
+    per_doc = staged(places.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("at")), "places")
+    split = docs.where(seen_in(per_doc, "doc_id")(F.col("doc_id"))).select("doc_id", F.split("text", "\n", -1).alias("all")).join(per_doc, "doc_id").select("doc_id", "all", F.explode("at").alias("pos"))
     words = F.split(F.trim(F.element_at("all", F.col("pos") + 1)), " ", -1)
     chosen = staged(split.select(F.struct("doc_id", "pos").alias("first"), words.alias("words")).dropDuplicates(["first"]), "chosen")
 
     hashed = chosen.select("first", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     n = F.size("w")
     variants = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("gap"), F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(F.concat(F.slice("w", 1, F.greatest(i - 1, F.lit(0))), F.slice("w", i + 1, n)))).alias("v")))
-    rows = hashed.select("first", F.explode(variants).alias("x")).select("first", "x.gap", "x.v")
+    rows = staged(hashed.select("first", F.explode(variants).alias("x")).select("first", "x.gap", "x.v"), "variants")
     cut = rows.where("gap > 0")
-    earliest = cut.groupBy("v", "gap").agg(F.min("first").alias("early"), F.count("*").alias("c")).where("c > 1").select("v", "gap", "early")
-    replaced = cut.join(earliest, ["v", "gap"]).where("first > early").select("early", F.col("first").alias("late"))
+    earliest = staged(cut.groupBy("v", "gap").agg(F.min("first").alias("early"), F.count("*").alias("c")).where("c > 1").select("v", "gap", "early"), "earliest")
+    replaced = cut.where(seen_in(earliest, "v")(F.col("v"))).join(earliest, ["v", "gap"]).where("first > early").select("early", F.col("first").alias("late"))
     whole = rows.where("gap = 0").select("v", F.col("first").alias("other"))
-    inserted = cut.join(whole, "v").where("first <> other").select(F.least("first", "other").alias("early"), F.greatest("first", "other").alias("late"))
+    inserted = cut.where(seen_in(whole, "v")(F.col("v"))).join(whole, "v").where("first <> other").select(F.least("first", "other").alias("early"), F.greatest("first", "other").alias("late"))
     pairs = replaced.union(inserted).distinct()
     checked = (
         pairs.join(chosen.select(F.col("first").alias("early"), F.col("words").alias("x")), "early")
@@ -100,24 +102,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _half_keys().alias("halves"))
     distinct = staged(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
     near = near_lines(docs, distinct.select("first", "halves")).select(F.struct("doc_id", "pos").alias("first"), F.lit(True).alias("near"))
-    marked = distinct.select("h1", "h2", "first", "c").join(near, "first", "left").where("c > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = staged(distinct.select("h1", "h2", "first", "c").join(near, "first", "left").where("c > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked")
     every = lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-    gone = every.join(marked, ["h1", "h2"]).where("near or not (first <=> struct(doc_id, pos))").select("doc_id", "pos")
+    gone = every.where(seen_in(marked, "h1")(F.col("h1"))).join(marked, ["h1", "h2"]).where("near or not (first <=> struct(doc_id, pos))").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` of the lines that stay, and ``n_lines``, ``n_removed`` long."""
     docs = without(docs, "n_lines", "n_removed")
-    gone = staged(removed_lines(docs), "gone").select(F.col("doc_id").alias("gone_id"), "gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    gone = staged(removed_lines(docs), "gone").select(F.col("doc_id").alias("_gone_id_"), F.col("gone").alias("_gone_at_"))
+    size = gone.agg(F.sum(F.size("_gone_at_") * 4 + 48)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id_")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone_at_", i))
+    text = F.when(F.col("_gone_at_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[F.col(f"`{c}`") if c.lower() != "text" else text.alias(c) for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_gone_at_"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -127,4 +131,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_line_dedup": r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, pos, trim(ls[pos], ' ') AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM l)),
+c AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w FROM p WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+d AS (SELECT line, any_value(w) AS w, min((doc_id, pos)) AS f FROM c GROUP BY line),
+v AS (SELECT f, gap, array_to_string(list_concat(w[1:gap - 1], w[gap + 1:]), ' ') AS v FROM (SELECT f, w, unnest(range(1, len(w) + 1)) AS gap FROM d WHERE len(w) >= 5)),
+late AS (
+  SELECT a.f FROM v a JOIN (SELECT v, gap, min(f) AS e FROM v GROUP BY ALL HAVING count(*) > 1) b ON a.v = b.v AND a.gap = b.gap WHERE a.f > b.e
+  UNION
+  SELECT greatest(a.f, d.f) FROM v a JOIN d ON a.v = d.line WHERE a.f <> d.f AND len(d.w) >= 5),
+gone AS (
+  SELECT DISTINCT c.doc_id, c.pos FROM c JOIN d ON c.line = d.line LEFT JOIN late ON late.f = d.f WHERE late.f IS NOT NULL OR d.f <> (c.doc_id, c.pos)),
+g AS (SELECT doc_id, list(pos) AS gp FROM gone GROUP BY 1)
+SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gp), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gp, []), i)), chr(10)), '')) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id
+"""
+}
