@@ -10,8 +10,9 @@ order; rare shingles go first. The steps:
    prefix; node and prefix shingles go to Parquet;
 3. every shingle that several nodes have in their prefix has a pivot, the node that has it earliest;
    all others are candidates of the pivot, under the length and the positional filter;
-4. candidates are verified once per pair: suffix filter, then the exact intersection of both sets,
-   which are rebuilt for the nodes concerned only;
+4. candidates are verified once per pair: suffix filter (a lower bound of the symmetric difference, first
+   from parity bitmaps of the sets, then from cutting both at middle tokens), then the exact
+   intersection of both sets, which are rebuilt for the nodes concerned only;
 5. nodes that a shingle has in common and that are not in one component after that are paired up and
    verified as well, so no link that joins components is lost, while the members of a large group of
    near copies never meet pair by pair.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechmill.llm.common import shuffle_width, staged, table
+from speechmill.llm.common import seen_in, shuffle_width, staged, table
 from speechmill.llm.components import connected_components
 from speechmill.llm.shingles import mix, shingle_hashes, shingle_sets, slices, string_buffer, word_hashes
 
@@ -42,6 +43,8 @@ from speechmill.llm.shingles import mix, shingle_hashes, shingle_sets, slices, s
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Bits of the filter of wanted documents.
 FILTER_BITS = 1 << 24
+#: Bits of the parity bitmaps of sets.
+PARITY_BITS = 512
 
 
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
@@ -83,23 +86,25 @@ def digest(shingles: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, prefix); node is null and the prefix empty for texts without words."""
+    """(doc_id, n, node, prefix, parity); node is null and the prefix empty for texts without words.
+    parity: whether the number of shingles with each hash of PARITY_BITS is odd, in 64-bit words."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS * 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
         for b in batches:
-            n, node, prefix = [], [], []
+            n, node, prefix, parity = [], [], [], []
             for _, h in shingle_sets(b.column("text"), words):
                 size = len(h)
                 n.append(size)
                 node.append(digest(h) if size else None)
                 order = np.argsort(freq[(h >> np.uint64(44)).astype(np.int64)], kind="stable")[: size - (-(-num * size // den)) + 1] if size else []
+                parity.append(np.packbits(np.bincount((h >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1).view(np.int64))
                 prefix.append(h[order].view(np.int64) if size else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], names=["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, parity array<long>")
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -157,6 +162,17 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
+def _near_enough(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the parity bitmaps allow: bits that differ are at most the size of the symmetric
+    difference, and that is at most n + m - 2 * (the intersection that a link needs)."""
+    left = shapes.select(F.col("node").alias("u"), F.col("n").alias("n"), F.col("parity").alias("x"))
+    right = shapes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    both = F.col("n") + F.col("m")
+    need = F.floor((num * both + (num + den - 1)) / (num + den))
+    return pairs.join(left, "u").join(right, "v").where(differ <= both - 2 * need).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The links (u, v) among pairs(u, v)."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
@@ -183,20 +199,26 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged(prefixes(docs, frequencies(docs, words), words, num, den), "prefixes")
 
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    nodes = staged(nodes, "nodes")
+    shared = staged(nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
+    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h")).where(seen_in(shared, "h")(F.col("h"))).select("h", "node", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
     pivots = posts.groupBy("h").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.count("*").alias("c"), F.min("n").alias("least_n")).where("c > 1").select("h", F.col("p.pos").alias("p_pos"), F.col("p.n").alias("p_n"), F.col("p.node").alias("p_node"), "least_n")
     lists = staged(posts.join(pivots, "h"), "lists")
 
     first = lists.where("node <> p_node").where(_may_link(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), num, den))
     pairs = staged(first.select(F.least("node", "p_node").alias("u"), F.greatest("node", "p_node").alias("v")).distinct(), "pairs")
+    shapes = nodes.select("node", "n", "parity")
     members = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = staged(_near_enough(pairs, shapes, num, den), "near")
         concerned = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
         sets = staged(sets_of(docs, concerned.join(members, "node"), words), "sets")
-        mine = staged(sets.join(concerned, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-        return staged(_verified(pairs, mine, num, den), "verified")
+        count = sets.agg(F.count("node").alias("n"), F.count_distinct("node").alias("d")).first()
+        if count["n"] > count["d"]:  # repeated rows
+            sets = staged(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        return staged(_verified(pairs, sets, num, den), "verified")
 
     links = verified(pairs)
     roots = connected_components(links)
@@ -232,4 +254,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM s JOIN reach ON s.doc_id = reach.a GROUP BY ALL
+"""
+}
