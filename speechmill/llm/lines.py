@@ -30,8 +30,6 @@ from speechmill.llm.common import seen_in, staged, table, without
 
 MIN_EXACT = 3
 MIN_NEAR = 5
-#: Most bytes of positions that are broadcast.
-BROADCAST_BYTES = 8 << 20
 
 
 def _word_count(line: Column) -> Column:
@@ -112,8 +110,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` of the lines that stay, and ``n_lines``, ``n_removed`` long."""
     docs = without(docs, "n_lines", "n_removed")
     gone = staged(removed_lines(docs), "gone").select(F.col("doc_id").alias("_gone_id_"), F.col("gone").alias("_gone_at_"))
-    size = gone.agg(F.sum(F.size("_gone_at_") * 4 + 48)).first()[0] or 0
-    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id_")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone_at_", i))
