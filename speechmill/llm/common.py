@@ -78,7 +78,7 @@ def seen_in(df: DataFrame, column: str) -> Callable[[Column], Column]:
     bits are built by aggregates, are at most FILTER_BITS / 8 bytes, and reach the tasks as the value of
     a scalar subquery. Beyond that size the filter lets more rows pass, never fewer."""
     bits = 1 << min(max((16 * df.count()).bit_length(), 12), FILTER_BITS.bit_length() - 1)
-    in_block = min(1024, bits >> 6)
+    in_block = min(64, bits >> 6)
     b = F.pmod(F.xxhash64(column), F.lit(bits))
     words = df.select(b.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("set"))
     cells = F.map_from_entries(F.collect_list(F.struct((F.col("word") % in_block).cast("int").alias("k"), F.col("set").alias("v"))))

@@ -165,6 +165,8 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 def _near_enough(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that the parity bitmaps allow: bits that differ are at most the size of the symmetric
     difference, and that is at most n + m - 2 * (the intersection that a link needs)."""
+    either = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+    shapes = shapes.where(seen_in(either, "node")(F.col("node")))
     left = shapes.select(F.col("node").alias("u"), F.col("n").alias("n"), F.col("parity").alias("x"))
     right = shapes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("parity").alias("y"))
     differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
@@ -226,7 +228,11 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     # rows of lists that hold several components, and that a partner of the list could still suit
     least = F.greatest(F.col("least_n"), F.floor((num * F.col("n") + den - 1) / den))
     room = F.col("n") - F.col("pos") >= F.floor((num * (F.col("n") + least) + (num + den - 1)) / (num + den))
-    rest = lists.where(room).select("h", "node", "n", "pos").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    roots = staged(roots, "roots")
+    linked = seen_in(roots, "node")(F.col("node"))
+    rest = lists.where(room).select("h", "node", "n", "pos")
+    known = rest.where(linked).join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    rest = known.union(rest.where(~linked).withColumn("root", F.col("node")))
     several = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     rest = staged(rest.join(several, "h"), "rest")
     a = rest.select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "pos", "root")])
