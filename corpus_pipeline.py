@@ -52,10 +52,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, little-endian in ``ids``, and digests of them and of the bytes
-    that they decode to."""
-    coded = bpe.decode(bpe.encode(docs))
-    own = [c for c in docs.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
+    """The token ids of every document, little-endian in ``ids``, in place of its text, and digests of them
+    and of the bytes that they decode to."""
+    coded = bpe.round_trip(docs)
+    own = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids", "decoded")]
     return coded.select(*own, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -36,7 +36,13 @@ def test_special_tokens_are_text_and_clashing_columns_go(spark):
     assert bytes(r["decoded"]) == b"<|endoftext|>" and r["n_tokens"] > 1
 
 
+def test_one_pass_equals_both(spark):
+    both = bpe.decode(bpe.encode(frame(spark))).drop("text").collect()
+    assert sorted(map(str, bpe.round_trip(frame(spark)).collect())) == sorted(map(str, both))
+
+
 def test_empty_table(spark):
+    assert bpe.round_trip(frame(spark).where("false")).count() == 0
     assert bpe.decode(bpe.encode(frame(spark).where("false"))).count() == 0
 
 
