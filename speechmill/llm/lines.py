@@ -14,7 +14,8 @@ one edit leaves a similarity of 0.8 or more. Words are what single spaces separa
    candidate per line and variant, never all pairs of a group;
 4. the candidates are verified on the words themselves.
 
-Keys are aggregated before they are shuffled, and joins on them hold one row per key on one side, so
+Texts are joined by doc_id with shuffles at every size: what they meet grows with the corpus, so it is
+never broadcast. Keys are aggregated before they are shuffled, and joins on them hold one row per key on one side, so
 a line that fills a third of the corpus is split as any skewed join.
 
 Defined cases: a null text stays null and has no lines; empty and short lines stay; rows of the same
@@ -72,7 +73,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = staged(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "halves")
     places = keys.where(seen_in(shared, "key")(F.col("key"))).join(shared, "key").select("first").distinct()
     per_doc = staged(places.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("at")), "places")
-    split = docs.where(seen_in(per_doc, "doc_id")(F.col("doc_id"))).select("doc_id", F.split("text", "\n", -1).alias("all")).join(per_doc, "doc_id").select("doc_id", "all", F.explode("at").alias("pos"))
+    split = docs.where(seen_in(per_doc, "doc_id")(F.col("doc_id"))).select("doc_id", F.split("text", "\n", -1).alias("all")).join(per_doc.hint("merge"), "doc_id").select("doc_id", "all", F.explode("at").alias("pos"))
     words = F.split(F.trim(F.element_at("all", F.col("pos") + 1)), " ", -1)
     chosen = staged(split.select(F.struct("doc_id", "pos").alias("first"), words.alias("words")).dropDuplicates(["first"]), "chosen")
 
@@ -110,7 +111,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` of the lines that stay, and ``n_lines``, ``n_removed`` long."""
     docs = without(docs, "n_lines", "n_removed")
     gone = staged(removed_lines(docs), "gone").select(F.col("doc_id").alias("_gone_id_"), F.col("gone").alias("_gone_at_"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id_")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone_id_")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone_at_", i))
     text = F.when(F.col("_gone_at_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
