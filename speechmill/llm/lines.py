@@ -2,7 +2,8 @@
 
 A line (of its text trimmed of spaces) goes if the same line, or one within one word edit
 (insertion, deletion or replacement), comes earlier in the corpus, in the order of doc_id and then
-of position. Equal lines count from ``MIN_EXACT`` words on, near ones from ``MIN_NEAR`` words on, so that
+of position. Equal lines that aren't empty count at any length (the query op9_line_dedup: from ``MIN_EXACT``
+words on, which its SQL sets), near ones from ``MIN_NEAR`` words on, so that
 one edit leaves a similarity of 0.8 or more. Words are what single spaces separate.
 
 1. equal lines are aggregated by hash to their earliest occurrence;
@@ -18,7 +19,7 @@ Texts are joined by doc_id with shuffles at every size: what they meet grows wit
 never broadcast. Keys are aggregated before they are shuffled, and joins on them hold one row per key on one side, so
 a line that fills a third of the corpus is split as any skewed join.
 
-Defined cases: a null text stays null and has no lines; empty and short lines stay; rows of the same
+Defined cases: a null text stays null and has no lines; empty lines stay; rows of the same
 doc_id count as one document and keep the same lines; a document may be left with an empty text.
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from speechmill.llm.common import seen_in, staged, table, without
 
+#: The least words of a line that the query removes, as in its SQL.
 MIN_EXACT = 3
 MIN_NEAR = 5
 
@@ -37,10 +39,10 @@ def _word_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, n) of all lines that can be removed."""
+def lines_of(docs: DataFrame, min_exact: int = 1) -> DataFrame:
+    """(doc_id, pos, line, n) of all lines that can be removed: those of ``min_exact`` words or more."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select("doc_id", "pos", F.trim("raw").alias("line"))
-    return lines.withColumn("n", _word_count(F.col("line"))).where(F.col("n") >= MIN_EXACT)
+    return lines.withColumn("n", _word_count(F.col("line"))).where(F.col("n") >= min_exact)
 
 
 def _half_keys() -> Column:
@@ -95,22 +97,22 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.select("late").distinct().select("late.doc_id", "late.pos")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_exact: int = 1) -> DataFrame:
     """(doc_id, gone): the positions that go, for documents that lose any."""
     docs = docs.select("doc_id", "text")
-    lines = lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _half_keys().alias("halves"))
+    lines = lines_of(docs, min_exact).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _half_keys().alias("halves"))
     distinct = staged(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
     near = near_lines(docs, distinct.select("first", "halves")).select(F.struct("doc_id", "pos").alias("first"), F.lit(True).alias("near"))
     marked = staged(distinct.select("h1", "h2", "first", "c").join(near, "first", "left").where("c > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked")
-    every = lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    every = lines_of(docs, min_exact).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
     gone = every.where(seen_in(marked, "h1")(F.col("h1"))).join(marked, ["h1", "h2"]).where("near or not (first <=> struct(doc_id, pos))").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_exact: int = 1) -> DataFrame:
     """``docs`` with ``text`` of the lines that stay, and ``n_lines``, ``n_removed`` long."""
     docs = without(docs, "n_lines", "n_removed")
-    gone = staged(removed_lines(docs), "gone").select(F.col("doc_id").alias("_gone_id_"), F.col("gone").alias("_gone_at_"))
+    gone = staged(removed_lines(docs, min_exact), "gone").select(F.col("doc_id").alias("_gone_id_"), F.col("gone").alias("_gone_at_"))
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone_id_")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone_at_", i))
@@ -123,7 +125,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_EXACT)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

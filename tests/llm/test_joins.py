@@ -148,3 +148,9 @@ def test_lines_edges(spark, tmp_path):
     assert (r["text"], r["n_lines"], r["n_removed"], r["gone"]) == ("a b c", 2, 1, "q")
     folder = save(frame(spark), tmp_path, "documents")
     assert lines.op9_line_dedup(spark, folder).count() == len(rows())
+
+
+def test_equal_lines_of_any_length_go(spark):
+    data = [(1, "Les.\n\n没有空格的一行\nx\ty\tz", "a", "b", 0), (2, "Les.\n\n没有空格的一行\nx\ty\tz\nnew", "a", "b", 0), (3, "Les. Les.\n Les. ", "a", "b", 0)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(frame(spark, data)).collect()}
+    assert got == {1: (data[0][1], 0), 2: ("\nnew", 3), 3: ("Les. Les.", 1)}
