@@ -51,10 +51,13 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _SPACE = re.compile(r"\s+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn em font i kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE_TAGS = set("nav header footer aside form button select dialog menu head figcaption".split())
+ASIDE_TAGS = set("nav header footer aside form button select dialog menu head".split())
+#: Never set aside by a name.
+KEPT_TAGS = set("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Of a name that sets an element aside every piece is one of these: cookie-notice, but not no-sidebar or related-work.
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|menu|nav\w*|breadcrumbs?|sidebar|footer|header|masthead"
-    r"|comments?|commentlist|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|login|search|widget|toolbar|pagination|pager)(?:$|[\s_-])",
+    r"(?:(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|menu|nav\w*|breadcrumbs?|sidebar|footer|header|masthead"
+    r"|comments?|commentlist|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|login|search|widget|toolbar|pagination|pager)(?=$|[_-]))+",
     re.I,
 )
 MAIN_TAGS = ("article", "main")
@@ -76,7 +79,7 @@ class Node:
 
     def aside(self) -> bool:
         tag, _, names = self.key.partition(" ")
-        return tag in ASIDE_TAGS or bool(names and ASIDE_NAMES.search(names))
+        return tag in ASIDE_TAGS or (tag not in KEPT_TAGS and any(ASIDE_NAMES.fullmatch(n) for n in names.split(" ")))
 
 
 def parse(html: str) -> Node:

@@ -69,3 +69,10 @@ def test_query_equals_a_plain_reading(spark, sf_dir):
         inside = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub("</?b>", "", p).replace("<br>", " "))).strip() for p in re.split("</?(?:p|h1)>", inside)]
         assert r["text"] == "\n\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("body", ["class='single no-sidebar'", "class='header'"])
+def test_names_that_only_contain_a_word_of_asides_keep_their_text(body):
+    inside = "<h2 id='search-algorithms'>Head</h2><section id='related-work'><p>One</p></section><div id='social-history'>Two</div><figure><figcaption>Three</figcaption></figure><div class='cookie-notice'>no</div>"
+    p = f"<html><body {body}><div class='content with-sidebar'><article class='post comments-open'>{inside}</article></div><div class='sidebar'>no</div></body></html>"
+    assert ht.extract(p, ht.infer([p])) == "Head\n\nOne\n\nTwo\n\nThree"
