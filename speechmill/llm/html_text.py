@@ -6,9 +6,9 @@ become text slots and strings that agree stay template text. The result is one e
 alternatives: elements in order, each plain, optional (?) or repeated (+), with slots (#TEXT).
 
 In the wrapper the main element is found: a main or article element, else the smallest element that
-holds most of the slots' text once menus, headers, footers, sidebars, notices, adverts, forms and
+holds all of the text once menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments are set aside. Every page of the host is then read through the wrapper: the main
-element by its path, its blocks without template text and without what is set aside. A page in which
+elements by their path, all in page order, its blocks without template text and without what is set aside. A page in which
 the path leads nowhere is read by the wrapper of that page alone.
 
 The wrapper of a host is inferred from at most ``SAMPLE_PAGES`` of its pages (those of lowest hash of
@@ -36,7 +36,7 @@ from speechmill.llm.common import staged, table, without
 SAMPLE_PAGES = 12
 #: Bytes of wrappers that may be broadcast; more are joined by host.
 BROADCAST_BYTES = 4 << 20
-#: Share of the text that the main element holds, where no element is named as such.
+#: Share of the largest named element's text from which on an article is preferred to it.
 MOST_TEXT = 0.7
 
 _TOKEN = re.compile(
@@ -197,6 +197,13 @@ def _text_weight(node: Node) -> int:
     return sum(map(_text_weight, node.children))
 
 
+def _all_text(node: Node) -> int:
+    """The text of an element without what is set aside."""
+    if node.key == "#TEXT":
+        return node.weight
+    return 0 if node.aside() else sum(map(_all_text, node.children))
+
+
 def _main_path(root: Node) -> list[str] | None:
     """The keys from the root to the main element, or None."""
     named: list[tuple[int, list[str]]] = []
@@ -214,12 +221,13 @@ def _main_path(root: Node) -> list[str] | None:
     if named:
         articles = [n for n in named if n[1][-1].split(" ")[0] == "article" and n[0] >= MOST_TEXT * max(n[0] for n in named)]
         return max(articles or named, key=lambda n: (n[0], len(n[1])))[1]
-    total = _text_weight(root)
-    if not total:
+    if not _text_weight(root):
         return None
     node, path = root, []
     while True:
-        heavy = [c for c in node.children if c.key != "#TEXT" and not c.aside() and not c.repeated and c.tag not in INLINE and c.tag != "p" and _text_weight(c) >= MOST_TEXT * total]
+        # down only while nothing that isn't set aside is left outside, links included
+        full = [c for c in node.children if _all_text(c)]
+        heavy = [c for c in full if len(full) == 1 and c.key != "#TEXT" and not c.repeated and c.tag not in INLINE and c.tag != "p"]
         if not heavy:
             return path
         node = heavy[0]
@@ -259,13 +267,11 @@ def infer(pages: list[str]) -> dict:
 # --- extraction ------------------------------------------------------------------------------------
 
 
-def _find(node: Node, path: list[str]) -> Node | None:
+def _find(node: Node, path: list[str]) -> list[Node]:
+    """All elements at the path, in page order."""
     if not path:
-        return node
-    for c in node.children:
-        if c.key == path[0] and (found := _find(c, path[1:])) is not None:
-            return found
-    return None
+        return [node]
+    return [found for c in node.children if c.key == path[0] for found in _find(c, path[1:])]
 
 
 def blocks(node: Node, template: frozenset[str] = frozenset()) -> list[str]:
@@ -304,12 +310,13 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     if not html:
         return ""
     page = parse(html)
-    if wrapper is None or wrapper["path"] is None or (main := _find(page, wrapper["path"])) is None:
+    if wrapper is None or wrapper["path"] is None or not (main := _find(page, wrapper["path"])):
         wrapper = infer([html])
         if wrapper["path"] is None:
             return ""
         main = _find(page, wrapper["path"])
-    return "\n\n".join(blocks(main, frozenset(wrapper["template"]))) if main is not None else ""
+    template = frozenset(wrapper["template"])
+    return "\n\n".join(b for part in main for b in blocks(part, template))
 
 
 def _with_host(pages: DataFrame) -> DataFrame:

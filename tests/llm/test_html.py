@@ -76,3 +76,10 @@ def test_names_that_only_contain_a_word_of_asides_keep_their_text(body):
     inside = "<h2 id='search-algorithms'>Head</h2><section id='related-work'><p>One</p></section><div id='social-history'>Two</div><figure><figcaption>Three</figcaption></figure><div class='cookie-notice'>no</div>"
     p = f"<html><body {body}><div class='content with-sidebar'><article class='post comments-open'>{inside}</article></div><div class='sidebar'>no</div></body></html>"
     assert ht.extract(p, ht.infer([p])) == "Head\n\nOne\n\nTwo\n\nThree"
+
+
+def test_no_part_of_an_article_is_left_outside():
+    p = f"<html><body><nav>menu</nav><div id=page><h1>Title</h1><div class=lead>Lead</div><div class=body>{'word ' * 50}</div></div><footer>foot</footer></body></html>"
+    assert ht.extract(p, ht.infer([p])) == "Title\n\nLead\n\n" + " ".join(["word"] * 50)
+    p = f"<body><div><article><p>{'one ' * 9}</p></article><aside>x</aside><article><p>{'two ' * 9}</p></article></div></body>"
+    assert ht.extract(p, ht.infer([p])) == " ".join(["one"] * 9) + "\n\n" + " ".join(["two"] * 9)
