@@ -5,8 +5,9 @@ bytes. Long texts are cut at safe boundaries first, so the library never sees on
 a cut lies before a space or line feed that follows a character that isn't white space, where the
 splitting pattern always ends a match, hence the ids are those of the uncut text.
 
-Defined cases: a null text counts as empty (no ids, empty bytes); null ids decode to empty bytes;
-special tokens are ordinary text; repeated rows are encoded alike; an empty table gives an empty
+Defined cases: a null text counts as empty (no ids, empty bytes); null ids decode to empty bytes; other
+null columns pass through; special tokens are ordinary text; very long texts, and runs of one kind of character
+of any length, have the ids of the uncut text; repeated rows are encoded alike, there are no ties; an empty table gives an empty
 table; columns of the input that have the name of an output column are replaced.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,13 @@ from speechmill.llm.common import table, without
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters given to the library at once.
 PIECE_CHARS = 1 << 16
+#: White space from this many characters on doesn't go through the library's regex.
+LONG_RUN = 1 << 14
+#: A space or line feed after a character that isn't white space.
+_CUT = re.compile(r"(?<=\S)[ \n]")
+# The characters of the Unicode property White_Space.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_SPACE = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
 #: Rows of a batch whose results are held at once.
 SLICE_ROWS = 256
 
@@ -44,24 +53,33 @@ def encoder(rank_file: str):
 
 def safe_pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     """``text`` in pieces of about ``most`` characters, cut only where a match of the pattern ends."""
-    begin, n = 0, len(text)
-    while n - begin > most:
-        cut = begin + most
-        while cut < n and not (text[cut] in " \n" and not text[cut - 1].isspace()):
-            cut += 1
-        yield text[begin:cut]
-        begin = cut
-    if begin < n:
+    begin = 0
+    while len(text) - begin > most:
+        cut = _CUT.search(text, begin + most)
+        if cut is None:
+            break
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    if begin < len(text):
         yield text[begin:]
 
 
 def encode_text(text: str | None, rank_file: str) -> np.ndarray:
+    """The ids of a text. A run of white space is one match, up to its last character if text follows; a
+    long one is given to the library as that match, since its regex engine overflows on some hundred thousand."""
     if not text:
         return np.zeros(0, dtype="<u4")
     enc = encoder(rank_file)
-    if len(text) <= PIECE_CHARS:
+    if len(text) <= LONG_RUN:
         return np.asarray(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in safe_pieces(text)])
+    ids, begin = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += [enc.encode_ordinary(p) for p in safe_pieces(text[begin : run.start()])]
+        ids.append(enc._encode_single_piece(text[run.start() : end]))
+        begin = end
+    ids += [enc.encode_ordinary(p) for p in safe_pieces(text[begin:])]
+    return np.concatenate([np.asarray(x, dtype="<u4") for x in ids] or [np.zeros(0, "<u4")])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,23 @@ def test_safe_pieces_keep_the_ids():
             assert [i for p in pieces for i in bpe.encoder(PATH).encode_ordinary(p)] == bpe.encoder(PATH).encode_ordinary(t)
 
 
+def test_long_runs_of_white_space():
+    enc = bpe.encoder(PATH)
+    for run in (" " * 100_000, " \n" * 50_000, "\u3000\t \n\r\n" * 20_000, "\xa0" * 60_000, "\n" * 100_000):
+        for t in (run, "a" + run, run + "b", "x" + run + "y z" + run + ", " + run[:20_000] + "é", run + "\x1c" + run):
+            assert bpe.encode_text(t, PATH).tolist() == enc.encode_ordinary(t)  # the library still can
+    for run in (" " * 5_000_000, " \n" * 500_000):
+        ids = bpe.encode_text("one" + run + "two", PATH)
+        assert enc.decode_bytes(ids.tolist()).decode() == "one" + run + "two"
+        tail = enc.encode_ordinary("one" + run[:100_000] + "two")
+        assert ids[-2:].tolist() == tail[-2:] and ids[:2].tolist() == tail[:2]
+
+
+def test_long_runs_of_other_characters():
+    for t in ("a" * 200_000, "!" * 200_000 + " 7" * 90_000, "é7" * 100_000):
+        assert bpe.encode_text(t, PATH).tolist() == bpe.encoder(PATH).encode_ordinary(t)
+
+
 def test_special_tokens_are_text_and_clashing_columns_go(spark):
     df = spark.createDataFrame([(1, "<|endoftext|>", 5, "z")], "doc_id long, text string, n_tokens int, IDS string")
     r = bpe.decode(bpe.encode(df)).first()
