@@ -2,8 +2,7 @@
 
 A line (of its text trimmed of spaces) goes if the same line, or one within one word edit
 (insertion, deletion or replacement), comes earlier in the corpus, in the order of doc_id and then
-of position. Equal lines that aren't empty count at any length (the query op9_line_dedup: from ``MIN_EXACT``
-words on, which its SQL sets), near ones from ``MIN_NEAR`` words on, so that
+of position. Equal lines that aren't empty count at any length, near ones from ``MIN_NEAR`` words on, so that
 one edit leaves a similarity of 0.8 or more. Words are what single spaces separate.
 
 1. equal lines are aggregated by hash to their earliest occurrence;
@@ -12,37 +11,49 @@ one edit leaves a similarity of 0.8 or more. Words are what single spaces separa
 3. these emit the hash of the line itself and of the line without each of its words; equal variants
    meet. Lines that lack the same place are one replacement apart, so the earliest of such a group
    stands for all; a line that equals another's variant is one insertion away. Both give one
-   candidate per line and variant, never all pairs of a group;
+   candidate per line and variant, never all pairs of a group. All variants of a line come from running sums of
+   its word hashes, each turned by its place: their cost doesn't grow with the square of the line;
 4. the candidates are verified on the words themselves.
 
-Texts are joined by doc_id with shuffles at every size: what they meet grows with the corpus, so it is
+Texts are joined by row with shuffles at every size: what they meet grows with the corpus, so it is
 never broadcast. Keys are aggregated before they are shuffled, and joins on them hold one row per key on one side, so
 a line that fills a third of the corpus is split as any skewed join.
 
-Defined cases: a null text stays null and has no lines; empty lines stay; rows of the same
-doc_id count as one document and keep the same lines; a document may be left with an empty text.
+Defined cases: a null text stays null and has no lines; empty lines stay, and so does the text of a document that
+has no other; a document may be left with an empty text. A row is known by its doc_id and its text: different
+texts of one doc_id are different documents, in the order of a hash of them, repeated rows count as one document and keep the same lines.
+Null doc_ids come before all others, and are no less compared. Lines of any length are compared whole. An empty table gives an
+empty one; columns of the input that have the name of an output column are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechmill.llm.common import seen_in, staged, table, without
 
-#: The least words of a line that the query removes, as in its SQL.
-MIN_EXACT = 3
 MIN_NEAR = 5
+#: A Mersenne prime: doubling modulo it turns the bits of a number.
+BITS = 61
+PRIME = (1 << BITS) - 1
 
 
 def _word_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def lines_of(docs: DataFrame, min_exact: int = 1) -> DataFrame:
-    """(doc_id, pos, line, n) of all lines that can be removed: those of ``min_exact`` words or more."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select("doc_id", "pos", F.trim("raw").alias("line"))
-    return lines.withColumn("n", _word_count(F.col("line"))).where(F.col("n") >= min_exact)
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key tells rows of different texts apart, whatever their doc_id."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, pos, line, n) of all lines that can be removed."""
+    lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select("doc_id", "key", "pos", F.trim("raw").alias("line"))
+    return lines.withColumn("n", _word_count(F.col("line"))).where("n > 0")
 
 
 def _half_keys() -> Column:
@@ -67,55 +78,102 @@ def one_word_edit(x: Column, y: Column) -> Column:
     return F.when(F.size(long) - F.size(short) > 1, False).when(differs == 0, True).when(F.size(x) == F.size(y), same).otherwise(grown)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the first occurrence of each line that an earlier line is one edit away from.
+def _turn(h: Column, places: Column) -> Column:
+    """``h`` times two to the power of ``places`` modulo PRIME."""
+    left = (places % BITS).cast("int")
+    return F.call_function("shiftleft", h, left).bitwiseAND(F.lit(PRIME)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(BITS) - left))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running_sums(terms: Column, n: Column) -> Column:
+    """The sums modulo PRIME of the first 1 to n of ``terms``, by blocks of about the root of n."""
+    none = F.expr("cast(array() as array<bigint>)")
+    zero = F.lit(0).cast("long")
+
+    def sums(x: Column) -> Column:
+        def step(acc: Column, t: Column) -> Column:
+            at = (acc["at"] + t) % PRIME
+            return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+        return F.aggregate(x, F.struct(zero.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    size = F.ceil(F.sqrt(n)).cast("int")
+    blocks = _let(terms, lambda t: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda b: sums(F.slice(t, b * size + 1, size))))
+    before = lambda bs: F.concat(F.array(zero), sums(F.transform(bs, lambda b: F.element_at(b, -1))))
+    return _let(blocks, lambda bs: _let(before(bs), lambda sofar: F.flatten(F.transform(bs, lambda b, i: _let(F.get(sofar, i), lambda more: F.transform(b, lambda x: (x + more) % PRIME))))))
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """(first, gap, v): of lines(first, words) the hash of the line (gap 0) and of the line without each of its words."""
+    n = F.size("words")
+    terms = F.transform("words", lambda w, j: _turn(F.xxhash64(w).bitwiseAND(F.lit(PRIME)) % PRIME, j))
+
+    def every(upto: Column, whole: Column) -> Column:
+        # words after the gap move up by one place: half their weight
+        def without_word(i: Column) -> Column:
+            after = _turn((whole - F.element_at(upto, i) + PRIME) % PRIME, F.lit(BITS - 1))
+            return F.struct(i.alias("gap"), ((F.coalesce(F.get(upto, i - 2), F.lit(0).cast("long")) + after) % PRIME).alias("v"))
+
+        return F.concat(F.array(F.struct(F.lit(0).alias("gap"), whole.alias("v"))), F.transform(F.sequence(F.lit(1), n), without_word))
+
+    made = _let(_running_sums(terms, n), lambda upto: _let(F.element_at(upto, -1), lambda whole: every(upto, whole)))
+    return lines.select("first", F.explode(made).alias("x")).select("first", "x.gap", "x.v")
+
+
+def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(first) of each line that an earlier line is one edit away from.
 
-    distinct: first struct<doc_id, pos> of each distinct line, with its half keys."""
-    keys = distinct.select("first", F.explode("halves").alias("key"))
-    shared = staged(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "halves")
-    places = keys.where(seen_in(shared, "key")(F.col("key"))).join(shared, "key").select("first").distinct()
-    per_doc = staged(places.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("at")), "places")
-    split = docs.where(seen_in(per_doc, "doc_id")(F.col("doc_id"))).select("doc_id", F.split("text", "\n", -1).alias("all")).join(per_doc.hint("merge"), "doc_id").select("doc_id", "all", F.explode("at").alias("pos"))
+    distinct: first struct<doc_id, key, pos> of each distinct line, with its half keys."""
+    keys = distinct.select("first", F.explode("halves").alias("half"))
+    shared = staged(keys.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "halves")
+    places = keys.where(seen_in(shared, "half")(F.col("half"))).join(shared, "half").select("first").distinct()
+    per_row = staged(places.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.key").alias("of_key")).agg(F.collect_list("first.pos").alias("at")), "places")
+    met = rows.where(seen_in(per_row, "of_key")(F.col("key"))).select("doc_id", "key", F.split("text", "\n", -1).alias("all"))
+    split = met.join(per_row.hint("merge"), (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("doc_id", "key", "all", F.explode("at").alias("pos"))
     words = F.split(F.trim(F.element_at("all", F.col("pos") + 1)), " ", -1)
-    chosen = staged(split.select(F.struct("doc_id", "pos").alias("first"), words.alias("words")).dropDuplicates(["first"]), "chosen")
+    chosen = staged(split.select(F.struct("doc_id", "key", "pos").alias("first"), words.alias("words")).dropDuplicates(["first"]), "chosen")
 
-    hashed = chosen.select("first", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    n = F.size("w")
-    variants = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("gap"), F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(F.concat(F.slice("w", 1, F.greatest(i - 1, F.lit(0))), F.slice("w", i + 1, n)))).alias("v")))
-    rows = staged(hashed.select("first", F.explode(variants).alias("x")).select("first", "x.gap", "x.v"), "variants")
-    cut = rows.where("gap > 0")
+    made = staged(variants(chosen), "variants")
+    cut = made.where("gap > 0")
     earliest = staged(cut.groupBy("v", "gap").agg(F.min("first").alias("early"), F.count("*").alias("c")).where("c > 1").select("v", "gap", "early"), "earliest")
     replaced = cut.where(seen_in(earliest, "v")(F.col("v"))).join(earliest, ["v", "gap"]).where("first > early").select("early", F.col("first").alias("late"))
-    whole = rows.where("gap = 0").select("v", F.col("first").alias("other"))
-    inserted = cut.where(seen_in(whole, "v")(F.col("v"))).join(whole, "v").where("first <> other").select(F.least("first", "other").alias("early"), F.greatest("first", "other").alias("late"))
+    whole = made.where("gap = 0").select("v", F.col("first").alias("other"))
+    inserted = cut.where(seen_in(whole, "v")(F.col("v"))).join(whole, "v").where("not (first <=> other)").select(F.least("first", "other").alias("early"), F.greatest("first", "other").alias("late"))
     pairs = replaced.union(inserted).distinct()
     checked = (
         pairs.join(chosen.select(F.col("first").alias("early"), F.col("words").alias("x")), "early")
         .join(chosen.select(F.col("first").alias("late"), F.col("words").alias("y")), "late")
         .where(one_word_edit(F.col("x"), F.col("y")))
     )
-    return checked.select("late").distinct().select("late.doc_id", "late.pos")
+    return checked.select(F.col("late").alias("first")).distinct()
 
 
-def removed_lines(docs: DataFrame, min_exact: int = 1) -> DataFrame:
-    """(doc_id, gone): the positions that go, for documents that lose any."""
-    docs = docs.select("doc_id", "text")
-    lines = lines_of(docs, min_exact).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _half_keys().alias("halves"))
-    distinct = staged(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
-    near = near_lines(docs, distinct.select("first", "halves")).select(F.struct("doc_id", "pos").alias("first"), F.lit(True).alias("near"))
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(of_id, of_key, gone): the positions that go, for rows that lose any."""
+    rows = rows_of(docs)
+    place = F.struct("doc_id", "key", "pos")
+    hashes = (F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    lines = lines_of(rows).select(place.alias("first"), *hashes, _half_keys().alias("halves"))
+    distinct = staged(lines.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines")
+    near = near_lines(rows, distinct.select("first", "halves")).withColumn("near", F.lit(True))
     marked = staged(distinct.select("h1", "h2", "first", "c").join(near, "first", "left").where("c > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked")
-    every = lines_of(docs, min_exact).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-    gone = every.where(seen_in(marked, "h1")(F.col("h1"))).join(marked, ["h1", "h2"]).where("near or not (first <=> struct(doc_id, pos))").select("doc_id", "pos")
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    every = lines_of(rows).select("doc_id", "key", "pos", *hashes)
+    gone = every.where(seen_in(marked, "h1")(F.col("h1"))).join(marked, ["h1", "h2"]).where(F.col("near") | ~F.col("first").eqNullSafe(place)).select("doc_id", "key", "pos")
+    return gone.groupBy(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key")).agg(F.collect_set("pos").alias("gone_at"))
 
 
-def dedup_lines(docs: DataFrame, min_exact: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` of the lines that stay, and ``n_lines``, ``n_removed`` long."""
     docs = without(docs, "n_lines", "n_removed")
-    gone = staged(removed_lines(docs, min_exact), "gone").select(F.col("doc_id").alias("_gone_id_"), F.col("gone").alias("_gone_at_"))
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone_id_")), "left")
+    gone = staged(removed_lines(docs), "gone").select(*[F.col(c).alias(f"_{c}_") for c in ("of_id", "of_key", "gone_at")])
+    joined = docs.join(gone.hint("merge"), (F.xxhash64("doc_id", "text") == F.col("_of_key_")) & F.col("doc_id").eqNullSafe(F.col("_of_id_")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone_at_", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone_at_")
+    kept = _let(lines, lambda x: F.transform(places, lambda i: F.get(x, i)))
     text = F.when(F.col("_gone_at_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[F.col(f"`{c}`") if c.lower() != "text" else text.alias(c) for c in docs.columns],
@@ -125,7 +183,7 @@ def dedup_lines(docs: DataFrame, min_exact: int = 1) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_EXACT)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -134,7 +192,7 @@ ORACLE = {
     "op9_line_dedup": r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 p AS (SELECT doc_id, pos, trim(ls[pos], ' ') AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM l)),
-c AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w FROM p WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+c AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w FROM p WHERE line <> ''),
 d AS (SELECT line, any_value(w) AS w, min((doc_id, pos)) AS f FROM c GROUP BY line),
 v AS (SELECT f, gap, array_to_string(list_concat(w[1:gap - 1], w[gap + 1:]), ' ') AS v FROM (SELECT f, w, unnest(range(1, len(w) + 1)) AS gap FROM d WHERE len(w) >= 5)),
 late AS (

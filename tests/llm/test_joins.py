@@ -94,8 +94,7 @@ def line_brute(data):
     for d, t in sorted({(r[0], r[1]) for r in data if r[0] is not None}):
         for p, line in enumerate((t or "").split("\n")):
             line = line.strip(" ")
-            n = line.count(" ") + 1 if line else 0
-            if n >= lines.MIN_EXACT:
+            if line:
                 places.append((d, p, line))
                 first.setdefault(line, (d, p))
     long = [(f, s.split(" ")) for s, f in first.items() if s.count(" ") + 1 >= lines.MIN_NEAR]
@@ -150,6 +149,36 @@ def test_lines_edges(spark, tmp_path):
     assert lines.op9_line_dedup(spark, folder).count() == len(rows())
 
 
+def test_rows_of_one_doc_id_or_of_none_keep_what_is_their_own(spark):
+    data = [(1, "alpha beta gamma delta\nz", "a", "b", 0), (2, "alpha beta gamma delta\nx", "a", "b", 0), (2, "this unique line is here\ny", "a", "b", 0), (2, "this unique line is here\ny", "a", "b", 0)]
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(frame(spark, data)).collect())
+    assert got == [(1, data[0][1]), (2, "this unique line is here\ny"), (2, "this unique line is here\ny"), (2, "x")]
+    data = [(None, "one two three four five six", "a", "b", 0), (None, "one two three four five nine", "a", "b", 0), (5, "one two three four five ten\nq", "a", "b", 0)]
+    got = lines.dedup_lines(frame(spark, data)).collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in got) in ([(False, "q"), (True, ""), (True, data[k][1])] for k in (0, 1))
+
+
+def test_variants_equal_those_of_the_words(spark):
+    rng = random.Random(1)
+    data = [([rng.choice(["a", "b", "c"]) for _ in range(n)],) for n in (1, 2, 5, 6, 9, 61, 62, 130, 200) for _ in range(3)]
+    df = spark.createDataFrame([(k, w) for k, (w,) in enumerate(data)], "first int, words array<string>")
+    made = {(r["first"], r["gap"]): r["v"] for r in lines.variants(df).collect()}
+    by_words = {}
+    for k, (w,) in enumerate(data):
+        assert (k, len(w)) in made and (k, len(w) + 1) not in made
+        for gap in range(len(w) + 1):
+            by_words.setdefault(tuple(w[: gap - 1] + w[gap:] if gap else w), set()).add(made[k, gap])
+    assert all(len(v) == 1 for v in by_words.values())
+    assert len({v for s in by_words.values() for v in s}) == len(by_words)
+
+
+def test_very_long_lines(spark):
+    words = [f"w{k}" for k in range(200_000)]
+    data = [(1, " ".join(words), "a", "b", 0), (2, " ".join([*words[:150_000], "other", *words[150_001:]]) + "\nrest", "a", "b", 0), (3, " ".join(words[:-1]) + "\nx", "a", "b", 0)]
+    got = {r["doc_id"]: (len(r["text"]), r["n_removed"]) for r in lines.dedup_lines(frame(spark, data, 3)).collect()}
+    assert got == {1: (len(data[0][1]), 0), 2: (4, 1), 3: (1, 1)}
+
+
 def test_equal_lines_of_any_length_go(spark):
     data = [(1, "Les.\n\n没有空格的一行\nx\ty\tz", "a", "b", 0), (2, "Les.\n\n没有空格的一行\nx\ty\tz\nnew", "a", "b", 0), (3, "Les. Les.\n Les. ", "a", "b", 0)]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(frame(spark, data)).collect()}
