@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) a temporary one is made and set.
-    """
+    Only where all tasks run on this machine, as in tests, a temporary one is made and set if none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="speechmill-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from speechmill.llm import bpe
+from speechmill.llm import bpe, common
 from tests.llm.fixtures import frame, rows
 
 
@@ -40,3 +40,16 @@ def test_tokens_stage(spark, sf_dir, text):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
