@@ -8,10 +8,14 @@ distinct word is run through the forward algorithm once and then looked up. The
 fitted by expectation maximisation (expected piece counts from forward and backward sums).
 
 The training rows are a bounded sample: about ``TRAIN_PER_LANG`` documents of each language, chosen by
-a hash of doc_id. Prediction reads every whole text.
+a hash of doc_id, whole. Languages are fitted in tasks of their own. Words of any length are learned from and
+scored, long ones (a language written without spaces has few others) by rescaled sums, many words at a time.
+Prediction reads every whole text.
 
 Defined cases: language ``und`` and score 0 for a null text and for one without a letter; ties go to the
-language first in the alphabet; equal texts get equal results. Without any training row all is ``und``.
+language first in the alphabet; equal texts, and so repeated rows, get equal results. Without any training row,
+as of an empty table, all is ``und``; rows with a null lang, text or doc_id aren't learned from, and a null doc_id isn't held out.
+Columns of the input that have the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +40,9 @@ TRAIN_PER_LANG = 300
 ROUNDS = 4
 SMOOTHING = 0.05
 FOLDS, HELD_OUT = 3, 1
-#: Longest word for the batched algorithm; longer ones go one by one, with scaling.
-LONG = 40
+#: Longest word for the algorithm that takes words of one length at once; longer ones go by the rescaled one,
+#: in groups of about so many characters and words.
+LONG, LONG_CHARS, LONG_WORDS = 40, 1 << 17, 512
 #: Each character's factor that keeps sums of short words within range (undone in the logarithm).
 LIFT = 3.0
 CACHE_WORDS = 300_000
@@ -146,26 +152,96 @@ def log_likelihoods(vocab: Vocabulary, prob: np.ndarray, words: list[str]) -> np
         for begin, end, piece in edges:
             alpha[end] += (alpha[begin] * lifts[end - begin]) * padded[piece]
         out[rows_of] = np.log(alpha[n]) - LIFT * n
-    for i, w in enumerate(words):
-        if len(w) > LONG:
-            out[i] = _long_word(vocab, prob, w)
+    rest = [i for i, w in enumerate(words) if len(w) > LONG]
+    for group in _long_groups([words[i] for i in rest]):
+        rows_of = [rest[k] for k in group]
+        batch = LongWords(vocab, [words[i] for i in rows_of])
+        out[rows_of] = np.add.reduceat(batch.forward(padded), batch.at[:-1], axis=0)
     return out
 
 
-def _long_word(vocab: Vocabulary, prob: np.ndarray, word: str) -> np.ndarray:
-    """The forward algorithm on one word, rescaled at every character."""
-    s = "▁" + word
-    recent = [np.ones(prob.shape[1])]  # sums that end at the last positions, in one scale
-    scale = np.zeros(prob.shape[1])
-    for end in range(1, len(s) + 1):
-        total = np.zeros(prob.shape[1])
-        for back in range(1, min(len(recent), vocab.longest) + 1):
-            piece = vocab.index.get(s[end - back : end], vocab.unknown if back == 1 else -1)
-            if piece >= 0:
-                total += recent[-back] * prob[piece]
-        scale += np.log(total)
-        recent = [r / total for r in recent[-vocab.longest + 1 :]] + [np.ones(prob.shape[1])]
-    return scale
+class LongWords:
+    """Words of any lengths for the rescaled algorithms, which go through all of them at once, by position.
+
+    words are sorted with the longest first, so those that reach a position are always the first ones."""
+
+    def __init__(self, vocab: Vocabulary, words: list[str]):
+        marked = ["▁" + w for w in words]
+        self.n = np.array([len(w) for w in marked])
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.widest = vocab.longest
+        size = int(self.at[-1])
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, _BASE))])
+        down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, _INV))])
+        total = np.concatenate([[np.uint64(0)], np.cumsum((codes + np.uint64(1)) * up[:size])])
+        end = np.arange(1, size + 1)
+        begin_of_word = np.repeat(self.at[:-1], self.n)
+        #: [character, length - 1]: the piece of that length which ends with the character
+        self.pieces = np.full((size, self.widest), vocab.none, np.int32)
+        for k in range(1, self.widest + 1):
+            fits = np.flatnonzero(end - k >= begin_of_word)
+            found = vocab.find((total[end[fits]] - total[end[fits] - k]) * down[end[fits] - k])
+            self.pieces[fits, k - 1] = np.where(found == vocab.none, vocab.unknown, found) if k == 1 else found
+
+    def reaching(self, position: int) -> int:
+        """How many words have more than ``position`` characters."""
+        return int(np.searchsorted(-self.n, -position, side="left"))
+
+    def forward(self, padded: np.ndarray) -> np.ndarray:
+        """[character, language]: the logarithm of the sum of all segmentations up to a character over that up
+        to the one before. padded: [piece, language], 0 where there is none."""
+        steps = np.zeros((len(self.pieces), padded.shape[1]))
+        recent = np.zeros((len(self.n), self.widest, padded.shape[1]))  # sums up to the characters before, in one scale
+        recent[:, 0] = 1
+        for t in range(int(self.n.max(initial=0))):
+            a = self.reaching(t)
+            rows = self.at[:a] + t
+            total = (recent[:a] * padded[self.pieces[rows]]).sum(axis=1)
+            steps[rows] = np.log(total)
+            recent[:a, 1:] = recent[:a, :-1] / total[:, None]
+            recent[:a, 0] = 1
+        return steps
+
+    def expected(self, padded: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The expected uses of each piece of one language; padded: [piece]."""
+        upto = np.concatenate([[0.0], np.cumsum(self.forward(padded[:, None])[:, 0])])
+        end = np.arange(len(self.pieces))[:, None]
+        length = np.arange(1, self.widest + 1)
+        with np.errstate(divide="ignore"):
+            use = np.exp(np.minimum(0.0, np.log(padded[self.pieces]) + upto[np.maximum(end + 1 - length, 0)] - upto[end + 1]))
+        after = np.zeros(len(self.pieces))  # at a word's end 1; else what the rest of the word adds, in scale
+        rest = np.zeros((len(self.n), self.widest))  # the like at the next places of each word
+        for t in range(int(self.n.max(initial=0)) - 1, -1, -1):
+            a = self.reaching(t)
+            rows = self.at[:a] + t
+            ends = self.n[:a] == t + 1
+            here = np.where(ends, 1.0, 0.0)
+            inner = np.flatnonzero(~ends)
+            if len(inner):  # pieces that begin after this character
+                k = np.arange(self.widest)
+                cell = rows[inner][:, None] + 1 + k
+                inside = cell < self.at[inner + 1][:, None]
+                here[inner] = (np.where(inside, use[np.where(inside, cell, 0), k], 0.0) * rest[inner]).sum(axis=1)
+            after[rows] = here
+            rest[:a, 1:] = rest[:a, :-1]
+            rest[:a, 0] = here
+        uses = use * (after * np.repeat(weight, self.n))[:, None]
+        return np.bincount(self.pieces.ravel(), weights=uses.ravel(), minlength=len(padded))
+
+
+def _long_groups(words: list[str]) -> Iterator[list[int]]:
+    """Indices of words, longest first, in groups of a bounded number of characters."""
+    order = sorted(range(len(words)), key=lambda i: (-len(words[i]), words[i]))
+    group, size = [], 0
+    for i in order:
+        group.append(i)
+        size += len(words[i]) + 1
+        if size >= LONG_CHARS or len(group) >= LONG_WORDS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def expected_counts(vocab: Vocabulary, prob: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
@@ -173,7 +249,13 @@ def expected_counts(vocab: Vocabulary, prob: np.ndarray, words: list[str], weigh
     counts = np.zeros(len(prob) + 1)
     padded = np.append(prob, 0.0)  # no piece: no probability
     lifts = np.exp(LIFT * np.arange(vocab.longest + 1))
-    for group in _by_length(words):
+    rest = [i for i, w in enumerate(words) if len(w) > LONG]
+    for group in _long_groups([words[i] for i in rest]):
+        rows_of = [rest[k] for k in group]
+        counts += LongWords(vocab, [words[i] for i in rows_of]).expected(padded, weight[rows_of])
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for group in _by_length([words[i] for i in short]):
+        group = [short[k] for k in group]
         n, edges = _edges(vocab, [words[i] for i in group])
         alpha, beta = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
         alpha[0] = beta[n] = 1
@@ -190,7 +272,7 @@ def expected_counts(vocab: Vocabulary, prob: np.ndarray, words: list[str], weigh
 
 def fit_language(vocab: Vocabulary, words: Counter, rounds: int = ROUNDS) -> np.ndarray:
     """The probabilities of the pieces, with the one of unknown characters last."""
-    kept = sorted(w for w in words if len(w) <= LONG)
+    kept = sorted(words)
     weight = np.array([words[w] for w in kept], dtype=float)
     prob = np.full(len(vocab.pieces) + 1, 1 / (len(vocab.pieces) + 1))
     for _ in range(rounds):
@@ -214,11 +296,17 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, model_file: str | None
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
     picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    words: dict[str, Counter] = {lang: Counter() for lang in counts}
-    for r in picked.toLocalIterator():
-        words[r["lang"]].update(words_of(r["text"]))
-    langs = sorted(lang for lang in words if words[lang])
-    return path, langs, np.stack([fit_language(vocab, words[lang]) for lang in langs], axis=1) if langs else np.zeros((len(vocab.pieces) + 1, 0))
+
+    def learn(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:  # about per_lang rows
+        words: Counter = Counter()
+        for text in sample["text"]:
+            words.update(words_of(text))
+        fitted = fit_language(vocabulary(path), words).astype(np.float64).tobytes() if words else None
+        return pd.DataFrame({"lang": [key[0]], "prob": [fitted]})
+
+    fitted = {r["lang"]: np.frombuffer(bytes(r["prob"])) for r in picked.groupBy("lang").applyInPandas(learn, "lang string, prob binary").where("prob is not null").collect()}
+    langs = sorted(fitted)
+    return path, langs, np.stack([fitted[lang] for lang in langs], axis=1) if langs else np.zeros((len(vocab.pieces) + 1, 0))
 
 
 class Scorer:

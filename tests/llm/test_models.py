@@ -77,10 +77,44 @@ def test_forward_sums_equal_all_segmentations():
     words = ["the", "éauou", "x", "日本", "token", "İ", "a-b", "aaaaaa"]
     got = langid.log_likelihoods(vocab, prob, words)
     assert np.allclose(got, [np.log(sums("▁" + w)) for w in words])
-    long = ["z" * 41, "tokenization" * 10, "é" * 300]
-    assert np.allclose(langid.log_likelihoods(vocab, prob, long)[0], langid._long_word(vocab, prob, long[0]))
-    assert np.isfinite(langid.log_likelihoods(vocab, prob, long)).all()
-    assert np.allclose(langid._long_word(vocab, prob, "thesegments"), langid.log_likelihoods(vocab, prob, ["thesegments"])[0])
+    long = ["z" * 41, "tokenization" * 10, "é" * 300, "x" * 20_000, "a"]
+    got = langid.log_likelihoods(vocab, prob, long)
+    assert np.isfinite(got).all()
+    for w, ll in zip(long[:3], got):
+        scale, sums_at = np.zeros(2), [np.ones(2)]
+        for end in range(1, len(w) + 2):
+            s = ("▁" + w)[:end]
+            total = sum(sums_at[-k] * prob[vocab.index.get(s[end - k :], vocab.unknown if k == 1 else 0)] for k in range(1, min(end, vocab.longest) + 1) if k == 1 or s[end - k :] in vocab.index)
+            sums_at = [x / total for x in sums_at[-40:]] + [np.ones(2)]
+            scale += np.log(total)
+        assert np.allclose(ll, scale)
+
+
+def test_rescaled_sums_equal_plain_ones(monkeypatch):
+    vocab = langid.vocabulary(PATH)
+    rng = np.random.default_rng(2)
+    prob = rng.random(len(vocab.pieces) + 1)
+    prob /= prob.sum()
+    words = ["the", "éauou", "x", "日本", "token", "İ", "a-b", "aaaaaa", "segmentations", "nochwörter", "zzzzzzzzzzzzzzzz"]
+    weight = rng.random(len(words))
+    plain = langid.log_likelihoods(vocab, prob[:, None], words), langid.expected_counts(vocab, prob, words, weight)
+    monkeypatch.setattr(langid, "LONG", 0)
+    for most in (1, 3, 512):
+        monkeypatch.setattr(langid, "LONG_WORDS", most)
+        assert np.allclose(langid.log_likelihoods(vocab, prob[:, None], words), plain[0])
+        assert np.allclose(langid.expected_counts(vocab, prob, words, weight), plain[1])
+
+
+def test_language_written_without_spaces(spark):
+    rng = np.random.default_rng(5)
+    kana, latin = "あいうえおかきくけこさしすせそたちつてと", "abdeghiklmnoprstu"
+    say = lambda letters, n: "".join(rng.choice(list(letters), n))
+    data = [(i, say(kana, 300), "ja", "s", 0) for i in range(30)] + [(100 + i, " ".join(say(latin, 5) for _ in range(50)), "xx", "s", 0) for i in range(30)]
+    data += [(200 + i, say(latin, 300), "xy", "s", 0) for i in range(30)]
+    model = langid.fit(frame(spark, data[:20] + data[30:50] + data[60:80]))
+    assert model[1] == ["ja", "xx", "xy"]
+    out = langid.identify(frame(spark, data), model).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in out]) > 0.95
 
 
 def test_expectation_maximisation_raises_the_likelihood():
