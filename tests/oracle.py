@@ -26,6 +26,8 @@ def rows_of_sql(sql: str, sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(path):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
