@@ -1,15 +1,14 @@
-"""Text scalars as Column expressions; the one stateful fold is a pandas UDF."""
+"""Text scalars as Column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Java's \w and \s are ASCII or differ from the Unicode notion meant here, hence spelt out.
-_WORDISH = r"\p{L}\p{N}_\p{IsWhite_Space}\x1c-\x1f'"
-_JUNK = rf"(?<![a-zA-Z])[^{_WORDISH}]|[^{_WORDISH}](?![a-zA-Z])"
+# The common letters come first: most characters are told by them.
+_WORDISH = r"a-zA-Z0-9 \p{L}\p{N}_\p{IsWhite_Space}\x1c-\x1f'"
+_JUNK = rf"[^{_WORDISH}](?:(?<![a-zA-Z].)|(?![a-zA-Z]))"
 _SPACES = r"[\p{IsWhite_Space}\x1c-\x1f]+"
 _NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]"
 
@@ -56,12 +55,27 @@ def is_digits(s: Column) -> Column:
 
 def words(s: Column) -> Column:
     """White-space separated words, none of them empty."""
-    return F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(s, _SPACES), lambda w: w != "")
+
+
+def merge_marks(pieces: Column) -> Column:
+    """Sentences of which those of punctuation alone join the one before (the first one the next)."""
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joins = (F.size(acc) > 0) & (is_punctuation(p) | is_punctuation(last))
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last, p)))).otherwise(F.array_append(acc, p))
+
+    def merged(x: Column) -> Column:
+        return F.when(F.exists(x, is_punctuation), F.aggregate(x, F.expr("cast(array() as array<string>)"), step)).otherwise(x)
+
+    return F.element_at(F.transform(F.array(pieces), merged), 1)
 
 
 def sentences(s: Column) -> Column:
-    """Sentences by rule: a cut after . ! ? or … that white space follows."""
-    return F.split(s, r"(?<=[.!?…])\s+")
+    """Sentences by rule: a cut after . ! ? or … that white space follows; what is punctuation alone is no
+    sentence of its own."""
+    return merge_marks(F.split(s, r"(?<=[.!?…])\s+"))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -98,34 +112,36 @@ def format_vector(v: Column) -> Column:
 CLING_LEFT = ".,;:!?)]}’”"
 CLING_RIGHT = "([{‘“"
 ALTERNATE = "'\""
+_BEFORE_LEFT = " (?=[" + CLING_LEFT.replace("]", "\\]") + "])"
+_AFTER_RIGHT = "(?<=[" + CLING_RIGHT.replace("[", "\\[") + "]) "
 
 
-def fold_spaces(text: str) -> str:
+def collapse_whitespace(s: Column) -> Column:
     """Drops one space before a mark that clings left and one after a mark that clings right; plain
-    quotes open and close in turn. A space inside ' ' belongs to the opening quote."""
-    out: list[str] = []
-    closing = skip = False
-    for at, mark in enumerate(text):
-        if skip:
-            skip = False
-            continue
-        gap_follows = text[at + 1 : at + 2] == " "
-        if mark in ALTERNATE:
-            if closing and at and text[at - 1] == " " and out:
-                out.pop()
-            skip = not closing and gap_follows
-            closing = not closing
-        elif mark in CLING_LEFT and out and out[-1] == " ":
-            out.pop()
-        elif mark in CLING_RIGHT and gap_follows:
-            skip = True
-        out.append(mark)
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def collapse_whitespace(s: pd.Series) -> pd.Series:
-    return s.map(fold_spaces, na_action="ignore")
+    quotes open and close in turn. A space alone between two quotes belongs to the opening one, and the
+    closing one then takes that quote for it.
+
+    The text is cut at the plain quotes: what follows an opening one loses a space at its start, what
+    comes before a closing one what stands for a space at its end."""
+    raw = F.split(s, f"[{ALTERNATE}]", -1)
+    marks = F.regexp_extract_all(s, F.lit(f"[{ALTERNATE}]"), F.lit(0))
+
+    def part(x: Column, i: Column) -> Column:
+        clung = F.regexp_replace(F.regexp_replace(x["raw"], _BEFORE_LEFT, ""), _AFTER_RIGHT, "")
+        opened = F.when((i % 2 == 1) & clung.startswith(" "), clung.substr(F.lit(2), F.length(clung))).otherwise(clung)
+        closes = (i % 2 == 1) & x["mark"].isNotNull() & x["raw"].endswith(" ")
+        body = F.when(closes, opened.substr(F.lit(1), F.greatest(F.length(opened) - 1, F.lit(0)))).otherwise(opened)
+        return F.struct(body.alias("body"), x["mark"].alias("mark"), (closes & (opened == "")).alias("takes"))
+
+    def glued(parts: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            taken = F.coalesce(F.get(parts, i + 1)["takes"], F.lit(False))
+            return F.concat(x["body"], F.when(taken, F.lit("")).otherwise(F.coalesce(x["mark"], F.lit(""))))
+
+        return F.array_join(F.transform(parts, piece), "")
+
+    parts = F.transform(F.arrays_zip(raw.alias("raw"), marks.alias("mark")), part)
+    return F.element_at(F.transform(F.array(parts), glued), 1)
 
 
 def join_tokens(tokens: Column, compat: bool = False) -> Column:

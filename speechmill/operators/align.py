@@ -104,16 +104,6 @@ def span_text(tokens: Column) -> Column:
     return text.join_tokens(F.transform(said, lambda t: t["cased"]))
 
 
-def merge_marks(pieces: Column) -> Column:
-    """Sentences of which those of punctuation alone join the one before (the first one the next)."""
-    joined = F.aggregate(
-        pieces,
-        F.expr("cast(array() as array<string>)"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (text.is_punctuation(p) | text.is_punctuation(F.try_element_at(acc, F.lit(-1)))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.try_element_at(acc, F.lit(-1)), p)))).otherwise(F.array_append(acc, p)),
-    )
-    return joined
-
-
 def utterances(spans: DataFrame) -> DataFrame:
     """Spans cut into sentences, numbered from 1, each with its tokens; a sentence ends with the run of
     marks that holds . ! ? or …. A silence between two sentences is halved between them."""

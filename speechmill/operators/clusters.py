@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,17 +151,35 @@ def spectral(df: DataFrame, key: str, vector: str, **parameters) -> DataFrame:
 
 def discriminant_axes(df: DataFrame, vector: str, label: str, dimensions: int, ridge: float = 1e-3) -> np.ndarray:
     """[input, output]: the linear discriminant axes of labelled vectors. Sums, counts and products are
-    aggregated over Spark; the matrices on the driver have the size of the vectors."""
-    cells = df.where(F.col(label).isNotNull()).select(label, F.col(vector).cast("array<double>").alias("v"))
-    size = cells.select(F.size("v").alias("n")).first()["n"]
-    means = cells.select(label, F.posexplode("v").alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"), F.count("*").alias("n")).collect()
-    products = cells.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).where("j >= i").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
-    total = np.zeros((size, size))
-    for r in products:
-        total[r["i"], r["j"]] = total[r["j"], r["i"]] = r["s"]
-    by: dict = {}
-    for r in means:
-        by.setdefault(r[label], [np.zeros(size), r["n"]])[0][r["i"]] = r["m"]
+    summed in tasks, each of which returns one row a label and one of products; the matrices have the size of the vectors."""
+    cells = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, by = None, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
+            products = x.T @ x if products is None else products + x.T @ x
+            labels = np.array(b.column("label").to_pylist())
+            for name in np.unique(labels):
+                some = x[labels == name]
+                s, n = by.get(name, (0.0, 0))
+                by[name] = (s + some.sum(axis=0), n + len(some))
+        if products is not None:
+            rows = [(None, 0, products.tobytes()), *((str(k), n, s.tobytes()) for k, (s, n) in by.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["label", "n", "part"])
+
+    total, sums_by = 0.0, {}
+    for r in cells.mapInArrow(sums, "label string, n long, part binary").toLocalIterator():
+        part = np.frombuffer(bytes(r["part"]))
+        if r["label"] is None:
+            size = int(len(part) ** 0.5)
+            total = total + part.reshape(size, size)
+        else:
+            s, n = sums_by.get(r["label"], (0.0, 0))
+            sums_by[r["label"]] = (s + part, n + r["n"])
+    by = {k: (s / n, n) for k, (s, n) in sums_by.items()}
     n = sum(c for _, c in by.values())
     grand = sum(m * c for m, c in by.values()) / n
     between = sum(c * np.outer(m - grand, m - grand) for m, c in by.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,8 @@ def embed(utterances: DataFrame, encode, key: str = "utterance_id", audio: str =
             for content in b.column(audio).to_pylist():
                 try:
                     out.append([float(x) for x in encode(content)])
-                except Exception:  # noqa: BLE001  one bad recording must not end the job
+                except Exception as e:  # noqa: BLE001  one bad recording must not end the job
+                    logging.getLogger(__name__).warning("no vector: %s", e)
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names[:-1]], pa.array(out, pa.list_(pa.float32()))], names=names)
 

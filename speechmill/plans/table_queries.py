@@ -162,9 +162,12 @@ WITH a AS (SELECT doc_id AS id, {_WORDS_SQL} AS w FROM documents), b AS (SELECT
 x AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS at FROM a), y AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS at FROM b)
 SELECT x.id, CAST(x.at - 1 AS BIGINT) AS place, x.w[x.at] AS word, y.w[y.at] AS token FROM x JOIN y ON x.id = y.id AND x.at = y.at""")
 def zip_join(spark, t):
-    a = t("documents").select(F.col("doc_id").alias("id"), F.posexplode(text.words(F.col("text"))).alias("place", "word"))
-    b = t("benchmark").select(F.col("item_id").alias("id"), F.posexplode(text.words(F.col("text"))).alias("place", "token"))
-    return a.join(b, ["id", "place"]).select("id", F.col("place").cast("long").alias("place"), "word", "token")
+    # the word lists meet by id; only then, and only of ids on both sides, are they taken apart
+    a = t("documents").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("word"))
+    b = t("benchmark").select(F.col("item_id").alias("id"), text.words(F.col("text")).alias("token"))
+    n = F.least(F.size("word"), F.size("token"))
+    both = a.join(b, "id").select("id", F.posexplode(F.arrays_zip(F.slice("word", F.lit(1), n).alias("word"), F.slice("token", F.lit(1), n).alias("token"))).alias("place", "x"))
+    return both.select("id", F.col("place").cast("long").alias("place"), "x.word", "x.token")
 
 
 @query("""

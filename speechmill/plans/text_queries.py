@@ -38,6 +38,24 @@ def edge_punct(spark, t):
     return _exploded(t).groupBy(text.leading_punctuation(F.col("w")).alias("lead"), text.trailing_punctuation(F.col("w")).alias("trail")).agg(F.count("*").alias("n"))
 
 
+_PLAIN = "regexp_replace(regexp_replace(coalesce(text, ''), '[\"'']', '', 'g'), '[.,]', ' . ', 'g') || ' ( '"
+
+
+@query(rf"""
+SELECT conv_id, turn, regexp_replace(regexp_replace({_PLAIN}, ' ([.,;:!?)\]}}’”])', '\1', 'g'), '([(\[{{‘“]) ', '\1', 'g') || '"' || role || '"; [x] ' || chr(39) || role || chr(39) || ' "' || role AS folded FROM conversations""")
+def fold_spaces(spark, t):
+    """Turns with marks and quotes set apart, folded together again."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\"']", ""), "[.,]", " . ")
+    apart = F.concat(plain, F.lit(' ( " '), F.col("role"), F.lit(' " ; [ x ] \''), F.col("role"), F.lit(" ' \" "), F.col("role"))
+    return t("conversations").select("conv_id", "turn", text.collapse_whitespace(apart).alias("folded"))
+
+
+@query(f"SELECT p_partkey, p_brand || ' ' || p_type || ', ' || p_size || '!' AS joined FROM part")
+def join_tokens(spark, t):
+    tokens = F.array(F.col("p_brand"), F.col("p_type"), F.lit(","), F.col("p_size").cast("string"), F.lit("!"))
+    return t("part").select("p_partkey", text.join_tokens(tokens).alias("joined"))
+
+
 @query(rf"SELECT doc_id, regexp_replace(text, '[^\p{{L}}\p{{M}}0-9]', '', 'g') AS letters FROM documents")
 def strip_nonletters(spark, t):
     return t("documents").select("doc_id", text.strip_nonletters(F.col("text")).alias("letters"))
@@ -121,15 +139,38 @@ def token_match(spark, t):
     return t("part").select("p_partkey", text.token_matches(F.col("p_brand"), brand, F.lower("p_name"), number, number).alias("matches"))
 
 
-@query(r"""
+_SPOKEN = f"(SELECT o_orderkey, o_orderpriority, n, {_es('n')} AS es, {_pap('n')} AS pap FROM (SELECT o_orderkey, o_orderpriority, CAST(o_orderkey * 37 % 1000 AS BIGINT) AS n FROM orders))"
+_HEARD = "CASE o_orderkey % 4 WHEN 0 THEN es WHEN 1 THEN pap WHEN 2 THEN substring(es, 3) ELSE lower(o_orderpriority) END"
+
+
+@query(f"""
+SELECT o_orderkey, coalesce({_SIM.format(a='es', b='heard')} > 0.55 OR {_SIM.format(a='pap', b='heard')} > 0.55, false) AS matches
+FROM (SELECT *, {_HEARD} AS heard FROM {_SPOKEN})""")
+def digit_match(spark, t):
+    """Digits against the token that was heard for them, by their words in two languages."""
+    n = (F.col("o_orderkey") * 37 % 1000).cast("long")
+    said = t("orders").select("o_orderkey", "o_orderpriority", n.cast("string").alias("word"), numbers.int_to_spanish(n).alias("es"), numbers.int_to_papiamentu(n).alias("pap"))
+    heard = F.when(F.col("o_orderkey") % 4 == 0, F.col("es")).when(F.col("o_orderkey") % 4 == 1, F.col("pap")).when(F.col("o_orderkey") % 4 == 2, F.col("es").substr(F.lit(3), F.length("es"))).otherwise(F.lower("o_orderpriority"))
+    return said.select("o_orderkey", text.token_matches(F.col("word"), F.col("word"), heard, F.col("es"), F.col("pap")).alias("matches"))
+
+
+def _mark(c: str) -> str:
+    return rf"(length({c}) <= 4 AND NOT regexp_matches({c}, '[\p{{L}}\p{{N}}\p{{M}}]'))"
+
+
+_CUT_SQL = rf"""string_split(list_reduce(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda acc, p:
+  acc || CASE WHEN {_mark('p')} OR {_mark("regexp_extract(acc, '[^' || chr(1) || ']*$')")} THEN ' ' ELSE chr(1) END || p), chr(1))"""
+
+
+@query(f"""
 SELECT doc_id, CAST(k AS BIGINT) AS sentence_num, s[k] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (
-  SELECT doc_id, string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents))""")
+  SELECT doc_id, {_CUT_SQL} AS s FROM documents))""")
 def sentence_split(spark, t):
     return t("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", (F.col("at") + 1).cast("long").alias("sentence_num"), "sentence")
 
 
-_SENTENCES = r"""(SELECT doc_id, source, k, s[k] AS sentence FROM (SELECT doc_id, source, s, unnest(range(1, len(s) + 1)) AS k FROM (
-  SELECT doc_id, source, string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)))"""
+_SENTENCES = f"""(SELECT doc_id, source, k, s[k] AS sentence FROM (SELECT doc_id, source, s, unnest(range(1, len(s) + 1)) AS k FROM (
+  SELECT doc_id, source, {_CUT_SQL} AS s FROM documents)))"""
 
 
 @query(f"""
@@ -155,3 +196,23 @@ def split_summary(spark, t):
     return assigned.groupBy("split").agg(
         F.count("*").alias("n_utterances"), F.count_distinct("source").alias("n_speakers"), F.round(F.avg(F.length("unpunctuated")), 6).alias("mean_length"), F.round(tables.duration_ms(F.sum("n_samples")), 6).alias("total_ms"),
     )
+
+
+_VERSE_SQL = r"list_filter(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[a-z]'))"
+
+
+@query(rf"""
+SELECT doc_id, CAST(k AS INTEGER) AS verse, array_to_string(list_filter(string_split_regex(s[k], '\s+'), lambda w: w <> ''), ' ') AS verse_text
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, {_VERSE_SQL} AS s FROM documents))""")
+def page_verses(spark, t):
+    """Sentences set as chapter pages, as numbered elements and texts, and read from them again."""
+    from speechmill.sources.verse_html import verses
+
+    def escaped(c):
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    said = F.filter(F.split("text", r"(?<=[.!?…])\s+"), lambda x: x.rlike("[a-z]"))
+    verse = F.transform(said, lambda x, i: F.concat(F.lit("<p><sup>"), (i + 1).cast("string"), F.lit("</sup><span> "), escaped(F.array_join(text.words(x), " ")), F.lit("</span></p>")))
+    html = F.concat(F.lit("<html><body><div class='justify x'><span>7</span>"), F.array_join(verse, ""), F.lit("</div><div class='justify'><span>1</span></div></body></html>"))
+    pages = t("documents").where(F.size(said) > 0).select("doc_id", html.alias("html"))
+    return verses(pages, "doc_id").where("problem is null").select("doc_id", "verse", "verse_text")

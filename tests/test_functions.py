@@ -48,11 +48,47 @@ def test_punctuation_predicates_and_edges(spark, strings):
         assert a != "" and b != ""
 
 
-def test_fold_spaces():
-    for given_text, want in [
-        ("Hola , mundo !", "Hola, mundo!"), ("( a )", "(a)"), ("a ' b ' c", "a 'b' c"), ('say " yes " now', 'say "yes" now'), ("' '", "'"), ("a  ,b", "a ,b"), ("", ""), (" , x", ", x"), ("“ q ”", "“q”"), ("end (", "end ("),
-    ]:
-        assert text.fold_spaces(given_text) == want
+def fold(given):
+    """The fold, a character at a time."""
+    out, closing, skip = [], False, False
+    for at, mark in enumerate(given):
+        if skip:
+            skip = False
+            continue
+        follows = given[at + 1 : at + 2] == " "
+        if mark in text.ALTERNATE:
+            if closing and given[at - 1] == " ":
+                out.pop()
+            skip, closing = follows and not closing, not closing
+        elif mark in text.CLING_LEFT and out and out[-1] == " ":
+            out.pop()
+        elif mark in text.CLING_RIGHT:
+            skip = follows
+        out.append(mark)
+    return "".join(out)
+
+
+def test_fold_spaces(spark):
+    cases = [
+        ("Hola , mundo !", "Hola, mundo!"), ("( a )", "(a)"), ("a ' b ' c", "a 'b' c"), ('say " yes " now', 'say "yes" now'), ("' '", "'"), ("a  ,b", "a ,b"), ("", ""), (" , x", ", x"), ("“ q ”", "“q”"), ("end (", "end ("), (None, None),
+    ]
+    assert apply(spark, text.collapse_whitespace, [c for c, _ in cases]) == [w for _, w in cases]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("  a'\".,([)]é“”") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert apply(spark, text.collapse_whitespace, texts) == [fold(x) for x in texts]
+
+
+def test_words_part_at_any_white_space(spark):
+    texts = ["a\xa0b c　d\te\x1cf\n", "  ", "", "x", " a", "a b"]
+    assert apply(spark, text.words, texts) == [x.split() for x in texts]
+
+
+def test_sentences_of_marks_alone_join_others(spark):
+    texts = ["One. Two! ... Three? \" Four", "! One. Two", "... !! a", "?", "", "One . . . . . Two."]
+    want = [["One.", 'Two! ...', 'Three?', '" Four'], ["! One.", "Two"], ["... !!", "a"], ["?"], [""], ["One . . . .", ". Two."]]
+    got = apply(spark, text.sentences, texts)
+    assert got[:5] == want[:5]
+    assert [" ".join(x) for x in got] == texts
 
 
 def test_join_tokens(spark):
