@@ -38,7 +38,7 @@ def test_quality_held_out_accuracy(spark, labelled):
 def test_quality_scores_do_not_depend_on_neighbours_or_batches():
     texts = [r[1] for r in rows()]
     y = np.array([i % 2 for i in range(len(texts))], np.float32)
-    model = quality.train([t or "" for t in texts], y, np.ones(len(texts), np.float32), epochs=1)
+    model = quality.train(quality.sampled(pa.array(texts, pa.string())), y, np.ones(len(texts), np.float32), epochs=1)
     whole = quality.predict(model, pa.array(texts, pa.string()))
     single = [quality.predict(model, pa.array([t], pa.string()))[0] for t in texts]
     assert np.allclose(whole, single, atol=1e-6)
@@ -48,6 +48,25 @@ def test_quality_scores_do_not_depend_on_neighbours_or_batches():
     assert quality.predict(model, pa.array([tail + "!!%%$$###" * 20]))[0] != quality.predict(model, pa.array([tail]))[0]
 
 
+def test_quality_scores_equal_a_plain_convolution():
+    texts = [r[1] or "" for r in rows() if len(r[1] or "") < 3000]
+    y = np.array([i % 2 for i in range(len(texts))], np.float32)
+    model = quality.train(quality.sampled(pa.array(texts, pa.string())), y, np.ones(len(texts), np.float32), epochs=1)
+    got = quality.predict(model, pa.array(texts, pa.string()))
+    for text, p in zip(texts, got):
+        data = text.encode()
+        n = -(-(len(data) + quality.WIDTH + quality.SPARE * quality.STRIDE) // quality.CHUNK_BYTES)
+        data += bytes(n * quality.CHUNK_BYTES + quality.WIDTH - len(data))
+        pooled = []
+        for c in range(n):
+            windows = quality.CHUNK - (quality.SPARE if c == n - 1 else 0)
+            begins = [(c * quality.CHUNK + w) * quality.STRIDE for w in range(windows)]
+            pooled.append(np.max([sum(model["taps"][j, data[b + j]] for j in range(quality.WIDTH)) for b in begins], axis=0))
+        act = np.tanh(np.array(pooled) + model["bias"])
+        z = act.mean(axis=0) @ model["of_mean"] + act.max(axis=0) @ model["of_max"] + model["offset"][0]
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(frame(spark), labels)
