@@ -13,22 +13,27 @@ order; rare shingles go first. The steps:
 4. candidates are verified once per pair: suffix filter (a lower bound of the symmetric difference, first
    from parity bitmaps of the sets, then from cutting both at middle tokens), then the exact
    intersection of both sets, which are rebuilt for the nodes concerned only;
-5. nodes that a shingle has in common and that are not in one component after that are paired up and
-   verified as well, so no link that joins components is lost, while the members of a large group of
-   near copies never meet pair by pair.
-
-The frequent shingle of a large group is handled by aggregates and joins whose skewed keys Spark
+5. nodes that a shingle has in common and that are not in one component after that are looked at once more:
+   in short lists all pairs across components, under the same filters; the nodes of longer lists are dealt anew by
+   parts of their sets. Sets of similar sizes are cut by a hash of the shingles into more parts than a linked pair
+   can differ in, so any linked pair has a part in common, and only nodes of one part and list size
+   band meet. What is left is verified as well, so no link that joins components is lost, while neither the
+   members of a large group of near copies nor many unlike documents with a frequent shingle meet pair by pair.
+
+The counters tell shingles less apart the larger the corpus; that makes lists longer, and longer lists are
+dealt by parts. The frequent shingle of a large group is handled by aggregates and joins whose skewed keys Spark
 splits, never by one task. Links within a component that is already joined aren't looked for.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; fewer words than a
-shingle has count as one shingle; repeated rows are one node; rows of a null doc_id get the smallest
-doc_id of their component, or null. Nodes are 64-bit digests: below 6e9 different texts no two are
+shingle has count as one shingle; repeated rows are one node, and so are texts of equal sets; rows of a null doc_id get the smallest
+doc_id of their component, or null; equal frequencies are ordered by the hash; very long texts are whole sets; an empty table gives
+an empty one; other columns of the input are not read, whatever their names. Nodes are 64-bit digests: below 6e9 different texts no two are
 expected to meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +44,30 @@ from speechmill.llm.common import seen_in, shuffle_width, staged, table
 from speechmill.llm.components import connected_components
 from speechmill.llm.shingles import mix, shingle_hashes, shingle_sets, slices, string_buffer, word_hashes
 
-#: Counters of shingle frequencies, and how many travel in one block.
-COUNTERS, BLOCK = 1 << 20, 1 << 12
-#: Bits of the filter of wanted documents.
-FILTER_BITS = 1 << 24
+#: Counters of shingle frequencies (as a power of two), and how many travel in one block.
+COUNTER_BITS, BLOCK = 20, 1 << 12
+#: Nodes of a list whose pairs are made at once; longer lists are dealt by parts of the sets.
+SHORT_LIST = 32
 #: Bits of the parity bitmaps of sets.
 PARITY_BITS = 512
 
 
+def counter_of(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashed corpus counts of all shingles: COUNTERS numbers, whatever the corpus."""
+    """Hashed corpus counts of all shingles: 2 ** COUNTER_BITS numbers, whatever the corpus."""
+    size = 1 << COUNTER_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(size, np.uint32)
         for b in batches:
             data, off = string_buffer(b.column("text"))
             for i, j in slices(off):
                 w, first = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 h, _ = shingle_hashes(w, first, words)
-                np.add.at(counts, (h >> np.uint64(44)).astype(np.int64), np.uint32(1))
+                np.add.at(counts, counter_of(h, size), np.uint32(1))
         blocks = counts.reshape(-1, BLOCK)
         full = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([blocks[k].tobytes() for k in full], pa.binary())], names=["block", "counts"])
@@ -73,8 +83,8 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema).repartition(shuffle_width(docs.sparkSession), "block")
-    out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint32)
-    for r in parts.mapInArrow(add, schema).collect():  # at most COUNTERS * 4 bytes
+    out = np.zeros((size // BLOCK, BLOCK), np.uint32)
+    for r in parts.mapInArrow(add, schema).collect():  # 4 bytes a counter
         out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
     return out.ravel()
 
@@ -88,7 +98,7 @@ def digest(shingles: np.ndarray) -> int:
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, node, prefix, parity); node is null and the prefix empty for texts without words.
     parity: whether the number of shingles with each hash of PARITY_BITS is odd, in 64-bit words."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS * 4 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 bytes a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
@@ -98,7 +108,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int
                 size = len(h)
                 n.append(size)
                 node.append(digest(h) if size else None)
-                order = np.argsort(freq[(h >> np.uint64(44)).astype(np.int64)], kind="stable")[: size - (-(-num * size // den)) + 1] if size else []
+                order = np.argsort(freq[counter_of(h, len(freq))], kind="stable")[: size - (-(-num * size // den)) + 1] if size else []
                 parity.append(np.packbits(np.bincount((h >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1).view(np.int64))
                 prefix.append(h[order].view(np.int64) if size else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64()))
@@ -107,40 +117,62 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int
     return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, parity array<long>")
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    h = mix(ids.astype(np.uint64))
-    return np.stack([(h >> np.uint64(s)) % np.uint64(FILTER_BITS) for s in (0, 20, 40)]).astype(np.int64)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.fill_null(-(2**63) + 11), dtype=np.int64)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the documents that wanted(doc_id) names, and perhaps of a few more: a
-    Bloom filter of fixed size picks them where they are read, so no text is shuffled."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[_bits(_ids(b.column("doc_id")))] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in wanted.select("doc_id").coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
+    filter of at most a fixed size picks them where they are read, so no text is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(known[_bits(_ids(b.column("doc_id")))].all(axis=0)))
             for at in range(0, b.num_rows, 1000):
                 sets = [h for _, h in shingle_sets(b.column("text").slice(at, 1000), words) if len(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return docs.where(seen_in(wanted, "doc_id")(F.col("doc_id"))).mapInArrow(run, "node long, shingles binary")
+
+
+def bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(band, largest size) of the two overlapping ranges of sizes that a set of n shingles is in. Two sets
+    that can be linked by their sizes have one of them in common."""
+    begins, at = [1], 1
+    while at <= n:
+        at = at * den // num + 1
+        begins.append(at)
+    own = len(begins) - 2
+    begins.append(at * den // num + 1)
+    return [(k, begins[k + 2] - 1) for k in (own - 1, own) if k >= 0]
+
+
+def part_keys(shingles: np.ndarray, num: int, den: int) -> list[int]:
+    """Hashes of the parts of a set, for each of its ranges of sizes. Linked sets of a range differ in at most
+    ``apart`` shingles, hence of more parts than that some are equal; as there are some more still, one of
+    those isn't empty, unless the set has so many empty ones that they are listed too."""
+    out: list[int] = []
+    mixed = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    for band, most in bands(len(shingles), num, den):
+        apart = 2 * most * (den - num) // (num + den)
+        parts = apart + 1 + -(-apart // 4)
+        of = (mix(shingles ^ np.uint64(band + 1)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, of, mixed)
+        full = np.bincount(of, minlength=parts) > 0
+        if (~full).sum() >= parts - apart:
+            full[:] = True
+        at = np.flatnonzero(full)
+        out += mix(mix(sums[at]) + (at + (band << 32)).astype(np.uint64)).view(np.int64).tolist()
+    return out
+
+
+def dealt(docs: DataFrame, wanted: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, n, keys) of the documents that wanted(doc_id) names, and perhaps of a few more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = [h for _, h in shingle_sets(b.column("text").slice(at, 200), words) if len(h)]
+                keys = pa.array([part_keys(h, num, den) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), keys], names=["node", "n", "keys"])
+
+    return docs.where(seen_in(wanted, "doc_id")(F.col("doc_id"))).mapInArrow(run, "node long, n int, keys array<long>")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -233,13 +265,27 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     rest = lists.where(room).select("h", "node", "n", "pos")
     known = rest.where(linked).join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     rest = known.union(rest.where(~linked).withColumn("root", F.col("node")))
-    several = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    several = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c")
     rest = staged(rest.join(several, "h"), "rest")
-    a = rest.select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "pos", "root")])
-    b = rest.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "pos", "root")])
-    across = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node")) & _may_link(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"), num, den)
-    more = a.join(b, "h").where(across).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
-    more = staged(more.join(pairs, ["u", "v"], "left_anti"), "pairs")
+
+    def across(rows: DataFrame, key: str, may: Callable[..., Column]) -> DataFrame:
+        """The pairs of nodes of one key that are of different components."""
+        a = rows.select(key, *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != key])
+        b = rows.select(key, *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != key])
+        apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node"))
+        return a.join(b, key).where(apart & may()).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+
+    short = rest.where(F.col("c") <= SHORT_LIST).select("h", "node", "n", "pos", "root")
+    more = across(short, "h", lambda: _may_link(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"), num, den))
+    long = rest.where(F.col("c") > SHORT_LIST).select("node", "root")
+    if long.take(1):
+        long = staged(long.distinct().join(members, "node").select("node", "root", "doc_id"), "long")
+        keyed = dealt(docs, long, words, num, den).join(long.select("node", "root"), "node").select("node", "n", "root", F.explode("keys").alias("key"))
+        keyed = staged(keyed.distinct(), "parts")
+        shared_parts = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        keyed = keyed.where(seen_in(staged(shared_parts, "shared"), "key")(F.col("key"))).join(shared_parts, "key")
+        more = more.union(across(keyed, "key", lambda: F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num))
+    more = staged(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
     if more.take(1):
         new = verified(more)
         if new.take(1):

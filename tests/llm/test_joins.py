@@ -53,6 +53,47 @@ def test_classes_equal_all_pairs(spark, k, num, den):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(data, k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 8, 10)])
+def test_classes_equal_all_pairs_when_all_lists_are_long(spark, monkeypatch, k, num, den):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 1)
+    data = [*near_copies(), *[(500 + i, t, "en", "s", 0) for i, (_, t, *_) in enumerate(near_copies(60, 8))]]
+    got = ngram_join.link_classes(frame(spark, data), k, num, den).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(data, k, num, den)
+
+
+def test_linked_sets_have_a_part_in_common():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        num, den = ((9, 10), (8, 10), (1, 2))[rng.integers(3)]
+        x = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 120)).astype(np.uint64))
+        keep = x[rng.random(len(x)) > rng.random() * 0.3]
+        y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)]))
+        if len(y) and ngram_join.similar(x, y, num, den):
+            assert set(ngram_join.part_keys(x, num, den)) & set(ngram_join.part_keys(y, num, den))
+
+
+def test_unlike_documents_of_stock_sentences_do_not_meet_in_pairs(spark, monkeypatch):
+    """Two thousand documents of 20 out of 60 sentences, and counters that tell next to nothing."""
+    monkeypatch.setattr(ngram_join, "COUNTER_BITS", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(7)
+    stock = [" ".join(f"w{rng.randrange(3000)}" for _ in range(12)) for _ in range(60)]
+    data = [(i, " ".join(rng.sample(stock, 20)), "en", "s", 0) for i in range(2000)]
+    data += [(3000 + i, data[i][1] + " more", "en", "s", 0) for i in range(40)]
+    seen = []
+    plain = ngram_join._near_enough
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_near_enough", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_classes(frame(spark, data), 3, 90, 100).collect()}
+    assert all(got[i] == i for i in range(2000)) and all(got[3000 + i] == i for i in range(40))
+    print(seen)
+    assert sum(seen) < 0.05 * 2000 * 1999 / 2
+
+
 def test_empty_and_wordless_tables(spark):
     assert ngram_join.link_classes(frame(spark).where("false"), 3, 9, 10).count() == 0
     got = ngram_join.link_classes(frame(spark, [(1, None, "a", "b", 0), (2, " ", "a", "b", 1)]), 3, 9, 10).collect()
