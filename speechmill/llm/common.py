@@ -72,13 +72,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def seen_in(df: DataFrame, column: str) -> Callable[[Column], Column]:
+def seen_in(df: DataFrame, column: str, bits_of_key: int = 16) -> Callable[[Column], Column]:
     """A Bloom filter of a column, as a predicate that is true for all its values and for few others.
 
     Rows without a partner are left out by it before a join shuffles them; the join itself decides. The
     bits are built by aggregates, are at most FILTER_BITS / 8 bytes, and reach the tasks as the value of
     a scalar subquery. Beyond that size the filter lets more rows pass, never fewer."""
-    bits = 1 << min(max((16 * df.count()).bit_length(), 12), FILTER_BITS.bit_length() - 1)
+    bits = 1 << min(max((bits_of_key * df.count()).bit_length(), 12), FILTER_BITS.bit_length() - 1)
     in_block = min(64, bits >> 6)
     b = F.pmod(F.xxhash64(column), F.lit(bits))
     words = df.select(b.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("set"))

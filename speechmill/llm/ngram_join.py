@@ -14,10 +14,10 @@ order; rare shingles go first. The steps:
    from parity bitmaps of the sets, then from cutting both at middle tokens), then the exact
    intersection of both sets, which are rebuilt for the nodes concerned only;
 5. nodes that a shingle has in common and that are not in one component after that are looked at once more:
-   in short lists all pairs across components, under the same filters; the nodes of longer lists are dealt anew by
-   parts of their sets. Sets of similar sizes are cut by a hash of the shingles into more parts than a linked pair
-   can differ in, so any linked pair has a part in common, and only nodes of one part and list size
-   band meet. What is left is verified as well, so no link that joins components is lost, while neither the
+   in short lists all pairs across components, under the same filters; longer lists are dealt anew by
+   parts of the sets. Sets of similar sizes are cut by a hash of the shingles into more parts than a linked pair
+   can differ in, so any linked pair has a part in common, and only nodes of one list, range of sizes and
+   equal part meet, under the same filters. What is left is verified as well, so no link that joins components is lost, while neither the
    members of a large group of near copies nor many unlike documents with a frequent shingle meet pair by pair.
 
 The counters tell shingles less apart the larger the corpus; that makes lists longer, and longer lists are
@@ -47,7 +47,9 @@ from speechmill.llm.shingles import mix, shingle_hashes, shingle_sets, slices, s
 #: Counters of shingle frequencies (as a power of two), and how many travel in one block.
 COUNTER_BITS, BLOCK = 20, 1 << 12
 #: Nodes of a list whose pairs are made at once; longer lists are dealt by parts of the sets.
-SHORT_LIST = 32
+SHORT_LIST = 128
+#: Bits for each wanted document in the filter that picks them: what passes besides carries a whole set.
+BITS_OF_WANTED = 256
 #: Bits of the parity bitmaps of sets.
 PARITY_BITS = 512
 
@@ -127,7 +129,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [h for _, h in shingle_sets(b.column("text").slice(at, 1000), words) if len(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "shingles"])
 
-    return docs.where(seen_in(wanted, "doc_id")(F.col("doc_id"))).mapInArrow(run, "node long, shingles binary")
+    return docs.where(seen_in(wanted, "doc_id", BITS_OF_WANTED)(F.col("doc_id"))).mapInArrow(run, "node long, shingles binary")
 
 
 def bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -163,16 +165,16 @@ def part_keys(shingles: np.ndarray, num: int, den: int) -> list[int]:
 
 
 def dealt(docs: DataFrame, wanted: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(node, n, keys) of the documents that wanted(doc_id) names, and perhaps of a few more."""
+    """(node, keys) of the documents that wanted(doc_id) names, and perhaps of a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 sets = [h for _, h in shingle_sets(b.column("text").slice(at, 200), words) if len(h)]
                 keys = pa.array([part_keys(h, num, den) for h in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), keys], names=["node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in sets], pa.int64()), keys], names=["node", "keys"])
 
-    return docs.where(seen_in(wanted, "doc_id")(F.col("doc_id"))).mapInArrow(run, "node long, n int, keys array<long>")
+    return docs.where(seen_in(wanted, "doc_id", BITS_OF_WANTED)(F.col("doc_id"))).mapInArrow(run, "node long, keys array<long>")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -277,14 +279,16 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     short = rest.where(F.col("c") <= SHORT_LIST).select("h", "node", "n", "pos", "root")
     more = across(short, "h", lambda: _may_link(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"), num, den))
-    long = rest.where(F.col("c") > SHORT_LIST).select("node", "root")
+    long = rest.where(F.col("c") > SHORT_LIST).select("h", "node", "n", "pos", "root")
     if long.take(1):
-        long = staged(long.distinct().join(members, "node").select("node", "root", "doc_id"), "long")
-        keyed = dealt(docs, long, words, num, den).join(long.select("node", "root"), "node").select("node", "n", "root", F.explode("keys").alias("key"))
-        keyed = staged(keyed.distinct(), "parts")
-        shared_parts = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        keyed = keyed.where(seen_in(staged(shared_parts, "shared"), "key")(F.col("key"))).join(shared_parts, "key")
-        more = more.union(across(keyed, "key", lambda: F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num))
+        long = staged(long, "long")
+        keys = dealt(docs, long.select("node").distinct().join(members, "node"), words, num, den)
+        # a list and a part of the set together
+        keyed = long.join(keys.dropDuplicates(["node"]), "node").select("node", "n", "pos", "root", "h", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("h", "key")).drop("h")
+        keyed = staged(keyed, "parts")
+        shared_parts = staged(keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "shared")
+        keyed = keyed.where(seen_in(shared_parts, "key")(F.col("key"))).join(shared_parts, "key")
+        more = more.union(across(keyed, "key", lambda: _may_link(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos"), num, den)))
     more = staged(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
     if more.take(1):
         new = verified(more)
