@@ -50,8 +50,8 @@ COUNTER_BITS, BLOCK = 20, 1 << 12
 SHORT_LIST = 128
 #: Bits for each wanted document in the filter that picks them: what passes besides carries a whole set.
 BITS_OF_WANTED = 256
-#: Bits of the parity bitmaps of sets.
-PARITY_BITS = 512
+#: Least and most bits of the parity bitmaps of sets, which have two bits a shingle in between.
+PARITY_BITS, MOST_PARITY_BITS = 512, 1 << 17
 
 
 def counter_of(h: np.ndarray, size: int) -> np.ndarray:
@@ -97,9 +97,17 @@ def digest(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles with each hash is odd, in 64-bit words; a bitmap of half the bits is that of
+    both halves combined by exclusive or."""
+    bits = min(max(PARITY_BITS, 1 << max(0, 2 * len(shingles) - 1).bit_length()), MOST_PARITY_BITS)
+    odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, node, prefix, parity); node is null and the prefix empty for texts without words.
-    parity: whether the number of shingles with each hash of PARITY_BITS is odd, in 64-bit words."""
+    parity: as of parity_of."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 bytes a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int
                 n.append(size)
                 node.append(digest(h) if size else None)
                 order = np.argsort(freq[counter_of(h, len(freq))], kind="stable")[: size - (-(-num * size // den)) + 1] if size else []
-                parity.append(np.packbits(np.bincount((h >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1).view(np.int64))
+                parity.append(parity_of(h))
                 prefix.append(h[order].view(np.int64) if size else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix", "parity"])
@@ -203,7 +211,16 @@ def _near_enough(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> Dat
     shapes = shapes.where(seen_in(either, "node")(F.col("node")))
     left = shapes.select(F.col("node").alias("u"), F.col("n").alias("n"), F.col("parity").alias("x"))
     right = shapes.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("parity").alias("y"))
-    differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+
+    def folded(x: Column, y: Column) -> Column:
+        """x, in half its bits if y has no more than those; sizes that differ more can't be linked, or have all bits."""
+        half = F.size(x) / 2
+        halves = F.zip_with(F.slice(x, 1, half.cast("int")), F.slice(x, half.cast("int") + 1, half.cast("int")), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(x) > F.size(y), halves).otherwise(x)
+
+    x, y = folded(F.col("x"), F.col("y")), folded(F.col("y"), F.col("x"))
+    bits = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + F.coalesce(c, F.lit(0)))
+    differ = F.when(F.size("x") * 2 < F.size("y"), 0).when(F.size("y") * 2 < F.size("x"), 0).otherwise(bits)
     both = F.col("n") + F.col("m")
     need = F.floor((num * both + (num + den - 1)) / (num + den))
     return pairs.join(left, "u").join(right, "v").where(differ <= both - 2 * need).select("u", "v")

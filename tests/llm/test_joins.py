@@ -61,6 +61,24 @@ def test_classes_equal_all_pairs_when_all_lists_are_long(spark, monkeypatch, k,
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(data, k, num, den)
 
 
+def test_parity_filter_keeps_links(spark):
+    rng = np.random.default_rng(4)
+    shapes, pairs, sets = [], [], []
+    for k in range(600):
+        x = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 1500)).astype(np.uint64))
+        keep = x[rng.random(len(x)) > rng.random() * 0.6]
+        y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, rng.integers(0, 300)).astype(np.uint64)]))
+        for node, z in ((2 * k, x), (2 * k + 1, y)):
+            shapes.append((node, len(z), ngram_join.parity_of(z).tolist()))
+            sets.append(z)
+        pairs.append((2 * k, 2 * k + 1))
+    frames = spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(shapes, "node long, n long, parity array<long>")
+    for num, den in ((9, 10), (1, 2)):
+        kept = {r["u"] for r in ngram_join._near_enough(*frames, num, den).collect()}
+        linked = {u for u, v in pairs if len(sets[v]) and ngram_join.similar(sets[u], sets[v], num, den)}
+        assert linked <= kept and len(kept) < 1.5 * len(linked) + 20
+
+
 def test_linked_sets_have_a_part_in_common():
     rng = np.random.default_rng(3)
     for _ in range(3000):
