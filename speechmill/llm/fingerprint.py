@@ -9,6 +9,8 @@ Defined cases: a null text is an empty one; a text of fewer than five words has
 as one shingle, a text without words an empty sketch. Two empty sketches resemble each other by 1,
 an empty one and any other by 0. Rows follow in the order of doc_id, null first, rows of one doc_id
 in the order of their text (null as empty), so ties and repeated rows have a fixed next document.
+Very long texts are sketched whole; an empty table gives an empty one. ``fingerprint`` replaces a column
+that has the name of its output, ``with_next`` reads no column but doc_id and text.
 """
 
 from __future__ import annotations
