@@ -5,6 +5,12 @@ which is written as Parquet and read again as the next one's ``docs``. All but t
 columns of their input, rows that a stage rejects are gone for good.
 
 Ids that a stage rejects are broadcast only if they are counted to be few; else they are joined.
+
+Defined cases: an empty table stays one through all stages. Null and empty texts go in the first stage; given
+to a later one, they stay, and have no tokens. Rows of a null doc_id are scored, deduplicated by line and encoded
+like others, and are never dropped as copies or leaks, which are named by doc_id. Repeated rows share their fate
+in every stage. Of near copies the lowest doc_id stays. Other columns and nulls in them pass through; columns of
+the names that the last stage adds are replaced. Texts of any length are read whole.
 """
 
 from __future__ import annotations
