@@ -3,9 +3,9 @@
 1. The words of all benchmark items are the vocabulary; their document frequencies are counted over the
    whole corpus, which gives the idf weights. There is one vocabulary, one set of weights and one latent
    space for all items, so what is found of an item doesn't depend on the others it is searched with.
-2. Items are cut into overlapping passages; a randomised SVD of their TF-IDF matrix is computed over
-   Spark (products with the matrix and its transpose are summed in tasks, only vocabulary x rank numbers
-   reach the driver) and gives the latent space. Its rank follows the spectrum: the least that keeps
+2. All items are cut into overlapping passages in tasks; a randomised SVD of the TF-IDF matrix of all
+   passages is computed over Spark (products with the matrix and its transpose are summed in tasks, only
+   vocabulary x rank numbers of each reach the driver, one after the other) and gives the latent space. Its rank follows the spectrum: the least that keeps
    ``ENERGY`` of the matrix, within ``MAX_RANK`` and ``SPACE_NUMBERS``.
 3. All documents are cut into passages alike, all whole texts. Both sides are projected and normalised in
    the latent space, so an equal passage has cosine 1 at any rank: where the rank is bounded there are
@@ -46,8 +46,8 @@ WINDOW, STRIDE = 16, 8
 ENERGY, MAX_RANK, OVERSAMPLE, POWER_ROUNDS = 0.9, 192, 16, 2
 #: Most numbers of the latent space (vocabulary x rank) that are held and broadcast.
 SPACE_NUMBERS = 1 << 24
-#: Passages that the space is fitted on, of the items of lowest hash; all are searched.
-FIT_PASSAGES = 20_000
+#: Most tasks that sum a product, each of which sends SPACE_NUMBERS at most.
+FIT_TASKS = 32
 COSINE, LEAST = 0.45, 0.3
 LCS_SURE, LCS_PARAPHRASE, ANSWER_SHARE, ANSWER_WORDS = 0.6, 0.45, 0.6, 5
 LCS_PASSAGE, PASSAGE_WORDS = 0.75, 12
@@ -140,14 +140,34 @@ def document_frequencies(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray
     return out[:size], int(out[size])
 
 
-def latent_space(spark: SparkSession, rows: list[list[int]], idf: np.ndarray, energy: float = ENERGY, most: int = MAX_RANK, seed: int = 11) -> tuple[np.ndarray, float]:
-    """[word, dimension]: the right singular vectors of the TF-IDF matrix of ``rows`` (the words of
+def passage_words(benchmark: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(words) of every passage of every item, as word numbers."""
+    shared = benchmark.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, w, first in words(b.column("text")):
+                known = shared.value.find(w)
+                _, begin, end = item_passages(first)
+                off = np.concatenate([[0], np.cumsum(end - begin)])
+                cell = np.arange(off[-1]) + np.repeat(begin - off[:-1], end - begin)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(known[cell], pa.int32()))], names=["words"])
+
+    return benchmark.select("text").mapInArrow(run, "words array<int>")
+
+
+def latent_space(
+    spark: SparkSession, rows: DataFrame | list[list[int]], idf: np.ndarray, energy: float = ENERGY, most: int = MAX_RANK, seed: int = 11
+) -> tuple[np.ndarray, float]:
+    """[word, dimension]: the right singular vectors of the TF-IDF matrix of all ``rows`` (the words of
     each passage), as many as keep ``energy`` of it and ``most`` at most, and the share they keep. By a
     randomised range finder with power rounds; the rows are spread over tasks."""
     size = len(idf)
     most = max(1, min(most, SPACE_NUMBERS // max(1, size)))
-    k = min(most + OVERSAMPLE, size, max(1, len(rows)))
-    spread = spark.createDataFrame([(r,) for r in rows], "words array<int>").repartition(max(1, min(8, len(rows) // 200)))
+    rows = (rows if isinstance(rows, DataFrame) else spark.createDataFrame([(r,) for r in rows], "words array<int>")).persist()
+    n_rows = rows.count()
+    k = min(most + OVERSAMPLE, size, max(1, n_rows))
+    spread = rows.repartition(max(1, min(FIT_TASKS, n_rows // 200)))
 
     def gram_times(m: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((idf.astype(np.float32), m.astype(np.float32)))  # at most SPACE_NUMBERS
@@ -165,8 +185,11 @@ def latent_space(spark: SparkSession, rows: list[list[int]], idf: np.ndarray, en
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         out = np.zeros((size, m.shape[1]), np.float32)
-        for r in spread.mapInArrow(multiply, "part binary").toLocalIterator():
+        parts = spread.mapInArrow(multiply, "part binary").persist()
+        parts.count()  # all tasks at once; the iterator alone would run one after the other
+        for r in parts.toLocalIterator():
             out += np.frombuffer(bytes(r["part"]), np.float32).reshape(out.shape)
+        parts.unpersist()
         shared.unpersist()
         return out
 
@@ -175,7 +198,8 @@ def latent_space(spark: SparkSession, rows: list[list[int]], idf: np.ndarray, en
         q = np.linalg.qr(gram_times(q))[0]
     values, vectors = np.linalg.eigh((q.T @ gram_times(q)).astype(np.float64))
     best = np.argsort(values)[::-1]
-    kept = np.cumsum(np.maximum(values[best], 0)) / max(1, len(rows))  # the rows have length 1
+    rows.unpersist()
+    kept = np.cumsum(np.maximum(values[best], 0)) / max(1, n_rows)  # the rows have length 1
     rank = min(int(np.searchsorted(kept, energy)) + 1, most, len(best))
     return (q @ vectors[:, best[:rank]]).astype(np.float32), float(kept[rank - 1])
 
@@ -340,14 +364,7 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Space | None:
         return None
     vocab = Vocabulary(np.concatenate(distinct))  # the words of the benchmark, whatever the corpus
     space = Space(vocab, *document_frequencies(docs, vocab))
-    rows: list[list[int]] = []
-    for r in benchmark.orderBy(F.xxhash64("item_id", "text"), "item_id").toLocalIterator():
-        for _, w, first in words(pa.array([r["text"]], pa.string())):
-            known = vocab.find(w)
-            rows += [known[b:e].tolist() for _, b, e in zip(*item_passages(first))]
-        if len(rows) >= FIT_PASSAGES:
-            break
-    space.span(latent_space(docs.sparkSession, rows[:FIT_PASSAGES], space.idf)[0])
+    space.span(latent_space(docs.sparkSession, passage_words(benchmark, vocab), space.idf)[0])
     return space
 
 

@@ -223,3 +223,27 @@ def test_long_text_ties_and_clashing_columns(spark):
     found = decontam.find_leaks(docs, bench)
     assert found.columns == ["doc_id", "item_id", "cosine", "share", "passage_share", "verbatim"]
     assert sorted((r["doc_id"], r["item_id"], r["share"]) for r in found.collect()) == [(1, 5, 1.0)] * 4 + [(1, 6, 1.0)] * 2
+
+
+def test_space_is_fitted_on_all_passages_of_a_large_benchmark(spark):
+    """Items of words of their own among 24,000 others, none of which the others' passages tell anything of."""
+    rng = random.Random(0)
+    vocabulary = [f"w{i}" for i in range(200)]
+    plain = [(k, " ".join(rng.choices(vocabulary, k=16))) for k in range(24_000)]
+    odd = [(10**6 + k, " ".join(f"o{k}x{j}" for j in range(16))) for k in range(100)]
+    docs = [(i, " ".join([*["host"] * (i % 13), text, "host"]), "en", "s", 0) for i, text in odd]
+    bench = spark.createDataFrame([*plain, *odd], "item_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame(spark, docs), bench).collect()}
+    assert found == {(i, i) for i, _ in odd}
+
+
+def test_passages_in_tasks_are_those_of_the_items(spark):
+    texts = [None, "", "?!", "one two three", " ".join(f"w{i}" for i in range(16)), " ".join(f"w{i % 29}" for i in range(41))]
+    hashed = [w for _, w, _ in decontam.words(pa.array(texts, pa.string()))]
+    vocab = decontam.Vocabulary(np.concatenate(hashed))
+    expected = []
+    for text in texts[3:]:
+        for _, w, first in decontam.words(pa.array([text], pa.string())):
+            expected += [vocab.find(w)[b:e].tolist() for _, b, e in zip(*decontam.item_passages(first))]
+    got = decontam.passage_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), vocab).collect()
+    assert sorted(r["words"] for r in got) == sorted(expected)
