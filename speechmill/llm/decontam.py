@@ -5,12 +5,15 @@
    space for all items, so what is found of an item doesn't depend on the others it is searched with.
 2. All items are cut into overlapping passages in tasks; a randomised SVD of the TF-IDF matrix of all
    passages is computed over Spark (products with the matrix and its transpose are summed in tasks, only
-   vocabulary x rank numbers of each reach the driver, one after the other) and gives the latent space. Its rank follows the spectrum: the least that keeps
-   ``ENERGY`` of the matrix, within ``MAX_RANK`` and ``SPACE_NUMBERS``.
+   vocabulary x rank numbers of each reach the driver, one after the other) and gives the latent space. Its rank follows the
+   spectrum and every passage: the least that keeps ``ENERGY`` of the matrix and ``KEPT`` of each of its rows,
+   within ``MAX_RANK`` and ``SPACE_NUMBERS``.
 3. All documents are cut into passages alike, all whole texts. Both sides are projected and normalised in
    the latent space, so an equal passage has cosine 1 at any rank: where the rank is bounded there are
    more candidates, not fewer finds. A pair is a candidate from ``COSINE`` on, if the words that both
-   have also hold ``LEAST`` of the item passage's own weight. Words of no item have no part in either, so
+   have also hold ``LEAST`` of the item passage's own weight. Of an item passage that the bounded rank keeps
+   less than ``KEPT`` of, the cosine tells little (words around a copy outweigh it): all passages that hold
+   ``LEAST`` of its weight are candidates, found by lists of its words. Words of no item have no part in either, so
    the text around a copy, however rare its words and however large the corpus, doesn't lower it.
 4. All candidates of a document and item are checked on the words themselves, by the longest common
    subsequence with the text around: of the whole item (from ``LCS_SURE`` of its words on a leak, from
@@ -43,7 +46,7 @@ from speechmill.llm.common import table
 from speechmill.llm.shingles import slices, string_buffer, word_hashes
 
 WINDOW, STRIDE = 16, 8
-ENERGY, MAX_RANK, OVERSAMPLE, POWER_ROUNDS = 0.9, 192, 16, 2
+ENERGY, KEPT, MAX_RANK, OVERSAMPLE, POWER_ROUNDS = 0.9, 0.1, 192, 16, 2
 #: Most numbers of the latent space (vocabulary x rank) that are held and broadcast.
 SPACE_NUMBERS = 1 << 24
 #: Most tasks that sum a product, each of which sends SPACE_NUMBERS at most.
@@ -156,12 +159,20 @@ def passage_words(benchmark: DataFrame, vocab: Vocabulary) -> DataFrame:
     return benchmark.select("text").mapInArrow(run, "words array<int>")
 
 
+def weighted(batch: pa.RecordBatch, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct words, TF-IDF weights of length 1) of each passage."""
+    for r in batch.column("words").to_pylist():
+        word, times = np.unique(np.asarray(r, dtype=np.int64), return_counts=True)
+        v = weight[word] * times
+        yield word, v / max(1e-9, np.sqrt((v**2).sum()))
+
+
 def latent_space(
     spark: SparkSession, rows: DataFrame | list[list[int]], idf: np.ndarray, energy: float = ENERGY, most: int = MAX_RANK, seed: int = 11
 ) -> tuple[np.ndarray, float]:
     """[word, dimension]: the right singular vectors of the TF-IDF matrix of all ``rows`` (the words of
-    each passage), as many as keep ``energy`` of it and ``most`` at most, and the share they keep. By a
-    randomised range finder with power rounds; the rows are spread over tasks."""
+    each passage), as many as keep ``energy`` of it and KEPT of every row, ``most`` at most, and the share
+    they keep. By a randomised range finder with power rounds; the rows are spread over tasks."""
     size = len(idf)
     most = max(1, min(most, SPACE_NUMBERS // max(1, size)))
     rows = (rows if isinstance(rows, DataFrame) else spark.createDataFrame([(r,) for r in rows], "words array<int>")).persist()
@@ -176,11 +187,7 @@ def latent_space(
             weight, factor = shared.value
             total = np.zeros((size, factor.shape[1]), np.float32)
             for b in batches:
-                for r in b.column("words").to_pylist():
-                    r = np.asarray(r, dtype=np.int64)
-                    word, times = np.unique(r, return_counts=True)
-                    v = weight[word] * times
-                    v /= max(1e-9, np.sqrt((v**2).sum()))
+                for word, v in weighted(b, weight):
                     total[word] += v[:, None] * (v @ factor[word])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
@@ -193,15 +200,35 @@ def latent_space(
         shared.unpersist()
         return out
 
+    def rank_of_all(m: np.ndarray) -> int:
+        """The least rank that keeps KEPT of every row, that of ``m`` if none does."""
+        shared = spark.sparkContext.broadcast((idf.astype(np.float32), m))
+
+        def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight, factor = shared.value
+            least = 1
+            for b in batches:
+                for word, v in weighted(b, weight):
+                    least = max(least, 1 + int(np.searchsorted(np.cumsum((v @ factor[word]) ** 2), KEPT)))
+            yield pa.RecordBatch.from_arrays([pa.array([min(least, factor.shape[1])], pa.int32())], names=["rank"])
+
+        out = spread.mapInArrow(need, "rank int").agg(F.max("rank")).first()[0]
+        shared.unpersist()
+        return out
+
     q = np.linalg.qr(gram_times(np.random.default_rng(seed).normal(size=(size, k))))[0]
     for _ in range(POWER_ROUNDS - 1):
         q = np.linalg.qr(gram_times(q))[0]
     values, vectors = np.linalg.eigh((q.T @ gram_times(q)).astype(np.float64))
     best = np.argsort(values)[::-1]
-    rows.unpersist()
     kept = np.cumsum(np.maximum(values[best], 0)) / max(1, n_rows)  # the rows have length 1
-    rank = min(int(np.searchsorted(kept, energy)) + 1, most, len(best))
-    return (q @ vectors[:, best[:rank]]).astype(np.float32), float(kept[rank - 1])
+    most = min(most, len(best))
+    rank = min(int(np.searchsorted(kept, energy)) + 1, most)
+    space = (q @ vectors[:, best[:most]]).astype(np.float32)
+    if rank < most and n_rows:
+        rank = max(rank, rank_of_all(space))
+    rows.unpersist()
+    return space[:, :rank].copy(), float(kept[rank - 1])
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -229,12 +256,22 @@ class Space:
     def span(self, vectors: np.ndarray) -> None:
         self.vectors = np.concatenate([vectors * self.idf[:, None], np.zeros((1, vectors.shape[1]), np.float32)])
 
-    def rows(self, words_in: np.ndarray) -> np.ndarray:
-        """The normalised projections of passages, given as word numbers (-1: none) of WINDOW columns."""
+    def project(self, words_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The projections of passages, given as word numbers (-1: none) of WINDOW columns, and their lengths."""
         out = np.zeros((len(words_in), self.vectors.shape[1]), np.float32)
         for c in range(words_in.shape[1]):
             out += self.vectors[words_in[:, c]]
-        return out / np.maximum(1e-9, np.sqrt((out**2).sum(axis=1)))[:, None]
+        return out, np.sqrt((out**2).sum(axis=1))
+
+    def rows(self, words_in: np.ndarray) -> np.ndarray:
+        """The normalised projections."""
+        out, length = self.project(words_in)
+        return out / np.maximum(1e-9, length)[:, None]
+
+    def kept(self, words_in: np.ndarray) -> np.ndarray:
+        """The shares of passages that the space keeps."""
+        times = (words_in[:, :, None] == words_in[:, None, :]).sum(axis=2)
+        return self.project(words_in)[1] ** 2 / np.maximum(1e-9, (self.heavy[words_in] * times).sum(axis=1))
 
 
 def cut(known: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -256,6 +293,14 @@ class Index:
         self.begin = self.begin - first[self.owner]
         self.whole = space.heavy[self.parts].sum(axis=1)
         self.query = space.rows(self.parts)
+        # the passages that the space keeps too little of, listed by their words
+        self.spanned = space.kept(self.parts) >= KEPT
+        self.weak = np.flatnonzero(~self.spanned)
+        part, column = np.nonzero(self.parts[self.weak] >= 0)
+        word = self.parts[self.weak][part, column]
+        order = np.argsort(word, kind="stable")
+        self.listed = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(space.idf)))])
+        self.list_part, self.list_weight = part[order], space.heavy[word[order]]
         # of each item its last words and its rarest ones, whose presence confirms a paraphrase
         self.answers, self.grams, self.weight, self.enough = [], [], [], []
         for k, w in enumerate(items):
@@ -265,8 +310,24 @@ class Index:
             self.weight.append(weight)
             self.enough.append(RUN_WEIGHT * weight.mean() * min(len(w), RUN_OF_WORDS))
 
+    def sharing(self, words_in: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passage, item passage) of the pairs whose common words hold LEAST, of the item passages listed by words."""
+        word = np.sort(words_in, axis=1)
+        new = word >= 0
+        new[:, 1:] &= word[:, 1:] != word[:, :-1]
+        n = np.where(new, self.listed[word + 1] - self.listed[word], 0)
+        ends = np.cumsum(n.sum(axis=1))
+        for some in np.split(np.arange(len(word)), np.flatnonzero(np.diff(ends // CHUNK_COSINES)) + 1):
+            each = n[some].ravel()
+            at = np.arange(each.sum()) + np.repeat(self.listed[word[some]].ravel() - (np.cumsum(each) - each), each)
+            row = np.repeat(np.arange(len(some)), n[some].sum(axis=1))
+            common = np.bincount(row * len(self.weak) + self.list_part[at], self.list_weight[at], len(some) * len(self.weak))
+            x, y = np.nonzero(common.reshape(len(some), -1) >= LEAST * self.whole[self.weak])
+            yield some[x], self.weak[y]
+
     def candidates(self, known: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(passage, item passage, cosine) of the pairs from COSINE on that LEAST allows."""
+        """(passage, item passage, cosine) of the pairs from COSINE on that LEAST allows, and of all that it
+        allows where the space keeps too little of the item passage."""
         heavy = self.space.heavy
         inside = np.concatenate([[0.0], np.cumsum(heavy[known])])
         inside = inside[end] - inside[begin]
@@ -277,8 +338,10 @@ class Index:
             words_in = cut(known, begin[p], end[p])
             cosine = self.space.rows(words_in) @ self.query.T
             i, k = np.nonzero(cosine >= COSINE)
-            may = inside[p[i]] >= 0.999 * LEAST * self.whole[k]
+            may = self.spanned[k] & (inside[p[i]] >= 0.999 * LEAST * self.whole[k])
             i, k = i[may], k[may]
+            for x, y in self.sharing(words_in) if len(self.weak) else ():
+                yield p[x], y, cosine[x, y]
             for some in range(0, len(i), 2048):
                 x, y = i[some : some + 2048], k[some : some + 2048]
                 both = (self.parts[y][:, :, None] == words_in[x][:, None, :]).any(axis=2)

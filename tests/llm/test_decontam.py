@@ -237,6 +237,38 @@ def test_space_is_fitted_on_all_passages_of_a_large_benchmark(spark):
     assert found == {(i, i) for i, _ in odd}
 
 
+def test_rank_keeps_a_part_of_every_passage(spark):
+    """One passage of its own among many of the same words isn't left out with the last tenth of the spectrum."""
+    data = [[0, 1, 2, 3]] * 500 + [[4, 5, 6, 7]]
+    space, kept = decontam.latent_space(spark, data, np.ones(8, np.float32))
+    assert space.shape == (8, 2) and kept > 0.99
+    assert ((np.full(4, 0.5) @ space[4:]) ** 2).sum() > 0.9
+
+
+def test_passages_beyond_the_rank_are_searched_by_their_words():
+    """Items that the space tells nothing of, whose copies stand among words that it is made of."""
+    rng = np.random.default_rng(12)
+    items = [rng.choice(2**60, n, replace=False).astype(np.uint64) for n in (*rng.integers(12, 60, 60), 16, 16)]
+    items[-1][4:12] = items[-1][4]
+    vocab = decontam.Vocabulary(np.concatenate(items))
+    space = decontam.Space(vocab, np.full(len(vocab.sorted), 10), 1000)
+    main = vocab.find(np.concatenate(items[:20]))
+    vectors = np.zeros((len(space.idf), len(main)), np.float32)
+    vectors[main, np.arange(len(main))] = 1
+    space.span(vectors)
+    index = decontam.Index(space, list(range(len(items))), items)
+    assert {int(k) for k in index.owner[index.weak]} == set(range(20, len(items)))
+    strong = np.concatenate(items[:20])
+    for k in range(20, len(items)):
+        for before in range(16):
+            w = np.concatenate([rng.choice(strong, before), items[k], rng.choice(strong, 9)])
+            assert k in {i for _, i, *_ in index.leaks(w, np.array([0, len(w)]))}, (k, before)
+    words_in = rng.choice(np.append(vocab.find(np.concatenate(items[20:22])), -1), (300, decontam.WINDOW))
+    got = {(int(a), int(b)) for x, y in index.sharing(words_in) for a, b in zip(x, y)}
+    shared = {(a, int(b)): sum(space.heavy[v] for v in index.parts[b] if v >= 0 and v in words_in[a]) / index.whole[b] for a in range(300) for b in index.weak}
+    assert got == {pair for pair, share in shared.items() if share >= decontam.LEAST} and len(got) > 100
+
+
 def test_passages_in_tasks_are_those_of_the_items(spark):
     texts = [None, "", "?!", "one two three", " ".join(f"w{i}" for i in range(16)), " ".join(f"w{i % 29}" for i in range(41))]
     hashed = [w for _, w, _ in decontam.words(pa.array(texts, pa.string()))]
