@@ -1,7 +1,7 @@
 """Text and audio: a token time alignment joined with the words of a text, spans and utterances.
 
-Words and aligned tokens are numbered on their own and meet in an equi-join by (slug, ordinal). What
-doesn't fit is set aside with its reason rather than stopping the run (strict=True raises).
+Words and aligned tokens are numbered on their own and meet by (slug, ordinal). What doesn't fit
+is set aside with its reason rather than stopping the run (strict=True raises).
 """
 
 from __future__ import annotations
@@ -12,89 +12,105 @@ from pyspark.sql import functions as F
 from speechmill.functions import numbers, text
 from speechmill.operators.ordered import with_runs
 
-TOKEN = "array<struct<ordinal:int,place:int,kind:string,uncased:string,cased:string,begin:bigint,len:bigint>>"
-
 
 def text_words(excerpts: DataFrame) -> DataFrame:
     """Words of excerpts(slug, excerpt, verse, text) with their ordinal, and the standalone punctuation
-    before each (``marks``). Punctuation before the first word of an excerpt closes the one before."""
-    pieces = excerpts.select("slug", "excerpt", "verse", F.posexplode(text.words(F.col("text"))).alias("at", "piece"))
+    before each (``marks``, the last two of them). Punctuation before the first word of an excerpt closes
+    the one before. Texts are dealt by slug before they are cut, words don't move any more; to a fixed number
+    of tasks, as the size of the texts says little of the work."""
+    parts = int(excerpts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = excerpts.select("slug", "excerpt", "verse", "text").repartition(parts, "slug").select("slug", "excerpt", "verse", F.posexplode(text.words(F.col("text"))).alias("at", "word"))
     w = Window.partitionBy("slug").orderBy("excerpt", "at")
-    marked = pieces.withColumn("mark", text.is_punctuation(F.col("piece"))).withColumn("ordinal", F.sum(F.when(F.col("mark"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marks = marked.where("mark").groupBy("slug", (F.col("ordinal") + 1).alias("ordinal")).agg(F.transform(F.array_sort(F.collect_list(F.struct("excerpt", "at", "piece"))), lambda m: m["piece"]).alias("marks"))
-    return marked.where("not mark").select("slug", "excerpt", "verse", "ordinal", F.col("piece").alias("word")).join(marks, ["slug", "ordinal"], "left")
+    marked = pieces.withColumn("mark", F.when(text.is_punctuation(F.col("word")), F.col("word")))
+    ordinal = F.count(F.when(F.col("mark").isNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = marked.select("*", ordinal.alias("ordinal"), F.lag("mark", 1).over(w).alias("last"), F.lag("mark", 2).over(w).alias("last_but_one"))
+    marks = F.when(F.col("last").isNotNull(), F.array_compact(F.array("last_but_one", "last")))
+    return numbered.where("mark is null").select("slug", "excerpt", "verse", "ordinal", "word", marks.alias("marks"))
 
 
 def aligned_tokens(alignment: DataFrame) -> DataFrame:
     """Runs of one token of alignment(slug, row_idx, begin, duration, token, ort), numbered, with the
-    silence run before each (``silences``: how many rows it had)."""
+    silence before each (``silences``: how many rows it had in its last two runs)."""
     rows = with_runs(alignment, ["slug"], ["row_idx"], "token").groupBy("slug", "run").agg(
         F.first("ort", ignorenulls=True).alias("ort"),
-        F.min("row_idx").alias("row_idx"),
         F.min_by("begin", "row_idx").alias("begin"),
         F.max_by(F.col("begin") + F.col("duration"), "row_idx").alias("end"),
         F.count("*").alias("n_rows"),
     )
-    w = Window.partitionBy("slug").orderBy("row_idx")
-    quiet = F.col("ort").isNull()
-    numbered = rows.withColumn("ordinal", F.sum(F.when(quiet, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = numbered.where(quiet).groupBy("slug", (F.col("ordinal") + 1).alias("ordinal")).agg(F.sum("n_rows").alias("silences"), F.min("begin").alias("s_begin"), F.max("end").alias("s_end"))
-    return numbered.where(~quiet).select("slug", "ordinal", "ort", "begin", "end").join(before, ["slug", "ordinal"], "left")
+    w = Window.partitionBy("slug").orderBy("run")
+    silence = F.when(F.col("ort").isNull(), F.struct("n_rows", "begin", "end"))
+    ordinal = F.count("ort").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = rows.select("*", ordinal.alias("ordinal"), F.lag(silence, 1).over(w).alias("last"), F.lag(silence, 2).over(w).alias("last_but_one"))
+    before = F.when(F.col("last").isNotNull(), F.struct(
+        (F.col("last.n_rows") + F.coalesce("last_but_one.n_rows", F.lit(0))).alias("silences"),
+        F.least("last_but_one.begin", "last.begin").alias("s_begin"),
+        F.greatest("last_but_one.end", "last.end").alias("s_end"),
+    ))
+    return numbered.where("ort is not null").select("slug", "ordinal", "ort", "begin", "end", before.alias("before")).select("slug", "ordinal", "ort", "begin", "end", "before.*")
 
 
 def align(excerpts: DataFrame, alignment: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(spans, errors). spans(slug, verse, tokens): one a verse, tokens in order; at a change of verse the
-    silence is halved, the first half closes the old span and the second opens the new one."""
+    silence is halved, the first half closes the old span and the second opens the new one.
+
+    Both sides are dealt by slug once; all that follows needs the rows of a slug in order. A null slug is
+    one like others."""
     words, found = text_words(excerpts), aligned_tokens(alignment)
     w = Window.partitionBy("slug").orderBy("ordinal")
-    plain = text.normalize_text(F.col("word"))
-    spoken, foreign = numbers.int_to_papiamentu(plain.try_cast("long")), numbers.int_to_spanish(plain.try_cast("long"))
+    plain, spoken = F.col("plain"), F.col("number.spoken")
+    # only for digits, and in a lambda: the long expressions don't become part of the code of every word
+    number = F.transform(F.filter(F.array(plain), text.is_digits), lambda p: F.struct(numbers.int_to_papiamentu(p.try_cast("long")).alias("spoken"), numbers.int_to_spanish(p.try_cast("long")).alias("foreign")))
+    sides = words.unionByName(found, allowMissingColumns=True)
     joined = (
-        words.join(found, ["slug", "ordinal"], "full")
-        .withColumn("plain", plain)
+        # an ordinal is there once on each side at most
+        sides.groupBy("slug", "ordinal").agg(*[F.first(c, ignorenulls=True).alias(c) for c in sides.columns if c not in ("slug", "ordinal")])
+        .withColumn("plain", text.normalize_text(F.col("word")))
+        .withColumn("number", F.get(number, F.lit(0)))
         .withColumn(
             "problem",
             F.when(F.col("word").isNull(), "token without word")
             .when(F.col("ort").isNull(), "word without token")
             .when(F.size("marks") > 1, "two marks in a row")
             .when(F.col("silences") > 1, "two silences in a row")
-            .when(~text.token_matches(F.col("word"), plain, F.col("ort"), spoken, foreign), "word and token differ"),
+            .when(~text.token_matches(F.col("word"), plain, F.col("ort"), spoken, F.col("number.foreign")), "word and token differ"),
         )
     )
     errors = joined.where("problem is not null").select("slug", "ordinal", "word", "ort", "problem")
-    bad = errors.select("slug").distinct()
     if strict:
         first = errors.orderBy("slug", "ordinal").first()
         if first:
             raise ValueError(f"{first['slug']} at {first['ordinal']}: {first['problem']} ({first['word']}, {first['ort']})")
-    good = joined.join(bad, "slug", "left_anti").withColumn("last_excerpt", F.lag("excerpt").over(w)).withColumn("last_verse", F.lag("verse").over(w))
-    turn = F.col("last_excerpt").isNotNull() & (F.col("last_excerpt") != F.col("excerpt"))
-    length, half = F.col("s_end") - F.col("s_begin"), F.floor((F.col("s_end") - F.col("s_begin")) / 2)
-
-    def token(place: int, kind: str, uncased: Column, cased: Column, begin: Column, size: Column) -> Column:
-        return F.struct(F.col("ordinal").cast("int").alias("ordinal"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), uncased.alias("uncased"), cased.alias("cased"), begin.cast("long").alias("begin"), size.cast("long").alias("len"))
-
-    nothing, none = F.lit(None).cast("string"), F.lit(None).cast("long")
-    empty = F.expr(f"cast(array() as {TOKEN})")
-
-    def some(condition: Column, c: Column) -> Column:
-        return F.when(condition, F.array(c)).otherwise(empty)
-
-    mark = some(F.size("marks") > 0, token(0, "punct", F.element_at("marks", 1), F.element_at("marks", 1), none, none))
-    quiet = F.col("s_begin").isNotNull()
-    lead, trail = text.leading_punctuation(F.col("word")), text.trailing_punctuation(F.col("word"))
-    say = F.when(text.is_digits(F.col("plain")), spoken).otherwise(F.col("plain"))
-    core = F.concat(
-        some(lead.isNotNull(), token(3, "punct", lead, lead, none, none)),
-        F.array(token(4, "word", say, text.without_edges(F.col("word")), F.col("begin"), F.col("end") - F.col("begin"))),
-        some(trail.isNotNull(), token(5, "punct", trail, trail, none, none)),
+    # what is told of a word by itself goes before the windows: more in one step would be more code than the JVM compiles
+    told = joined.select(
+        "slug", "excerpt", "verse", "ordinal", F.get("marks", F.lit(0)).alias("mark"), "begin", "end", "s_begin", "s_end", "problem",
+        text.leading_punctuation(F.col("word")).alias("leading"), text.trailing_punctuation(F.col("word")).alias("trailing"),
+        text.without_edges(F.col("word")).alias("cased"), F.when(text.is_digits(plain), spoken).otherwise(plain).alias("uncased"),
     )
-    silence = token(1, "silence", F.lit("<p:>"), nothing, F.col("s_begin"), length)
-    closing = F.concat(mark, some(quiet, token(1, "silence", F.lit("<p:>"), nothing, F.col("s_begin"), half)))
-    opening = F.concat(some(quiet, token(2, "silence", F.lit("<p:>"), nothing, F.col("s_begin") + half, length - half)), core)
-    own = good.select("slug", "excerpt", "verse", F.when(turn, opening).otherwise(F.concat(mark, some(quiet, silence), core)).alias("tokens"))
-    back = good.where(turn).select("slug", F.col("last_excerpt").alias("excerpt"), F.col("last_verse").alias("verse"), closing.alias("tokens"))
-    spans = own.unionByName(back).groupBy("slug", "excerpt").agg(F.first("verse").alias("verse"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    following = F.lead(F.struct("excerpt", "mark", "s_begin", "s_end")).over(w).alias("next")
+    placed = told.select("*", F.lag("excerpt").over(w).alias("last_excerpt"), following, F.max("problem").over(Window.partitionBy("slug")).alias("any_problem"))
+    turn = F.col("last_excerpt").isNotNull() & (F.col("last_excerpt") != F.col("excerpt"))
+    turns = F.col("excerpt").isNotNull() & (F.col("excerpt") != F.col("next.excerpt"))
+    good = placed.where("any_problem is null").withColumns({"turn": F.coalesce(turn, F.lit(False)), "turns": F.coalesce(turns, F.lit(False))})
+
+    def token(place: int | Column, kind: str, uncased: Column, cased: Column, begin: Column, size: Column, ordinal: Column = F.col("ordinal")) -> Column:
+        at = F.lit(place) if isinstance(place, int) else place
+        return F.struct(ordinal.cast("int").alias("ordinal"), at.alias("place"), F.lit(kind).alias("kind"), uncased.alias("uncased"), cased.alias("cased"), begin.cast("long").alias("begin"), size.cast("long").alias("len"))
+
+    nothing, none, after = F.lit(None).cast("string"), F.lit(None).cast("long"), F.col("ordinal") + 1
+    here, there = (F.col(f"{at}s_end") - F.col(f"{at}s_begin") for at in ("", "next."))
+    # at a change of verse the mark and half the silence before the next word close the old span
+    past = F.when(F.col("turn"), F.floor(here / 2)).otherwise(0)
+
+    tokens = F.array_compact(F.array(
+        F.when(~F.col("turn") & F.col("mark").isNotNull(), token(0, "punct", F.col("mark"), F.col("mark"), none, none)),
+        F.when(F.col("s_begin").isNotNull(), token(F.when(F.col("turn"), 2).otherwise(1), "silence", F.lit("<p:>"), nothing, F.col("s_begin") + past, here - past)),
+        F.when(F.col("leading").isNotNull(), token(3, "punct", F.col("leading"), F.col("leading"), none, none)),
+        token(4, "word", F.col("uncased"), F.col("cased"), F.col("begin"), F.col("end") - F.col("begin")),
+        F.when(F.col("trailing").isNotNull(), token(5, "punct", F.col("trailing"), F.col("trailing"), none, none)),
+        F.when(F.col("turns") & F.col("next.mark").isNotNull(), token(0, "punct", F.col("next.mark"), F.col("next.mark"), none, none, after)),
+        F.when(F.col("turns") & F.col("next.s_begin").isNotNull(), token(1, "silence", F.lit("<p:>"), nothing, F.col("next.s_begin"), F.floor(there / 2), after)),
+    ))
+    spans = good.select("slug", "excerpt", "verse", tokens.alias("tokens")).groupBy("slug", "excerpt").agg(F.first("verse").alias("verse"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
     return spans, errors
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speechmill.functions import text
@@ -14,8 +15,9 @@ def _chapters(t):
     """Turns as excerpts, and an alignment in which every word takes 8 samples, 10 after the last."""
     turns = t("conversations").where("text is not null")
     excerpts = turns.select(F.col("conv_id").cast("string").alias("slug"), F.col("turn").alias("excerpt"), F.col("turn").alias("verse"), "text")
-    words = excerpts.groupBy("slug").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("excerpt", "text"))), lambda e: text.words(e["text"]))).alias("w"))
-    rows = words.select("slug", F.posexplode("w").alias("row_idx", "word"))
+    w = Window.partitionBy("slug").orderBy("excerpt", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size(text.words(F.col("text")))).over(w), F.lit(0))
+    rows = excerpts.select("slug", "text", before.alias("before")).select("slug", "before", F.posexplode(text.words(F.col("text"))).alias("at", "word")).select("slug", "word", (F.col("before") + F.col("at")).alias("row_idx"))
     return excerpts, rows.select("slug", "row_idx", (F.col("row_idx") * 10).cast("long").alias("begin"), F.lit(8).cast("long").alias("duration"), F.col("row_idx").alias("token"), text.strip_nonletters(text.normalize_text(F.col("word"))).alias("ort"))
 
 
