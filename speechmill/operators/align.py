@@ -120,25 +120,47 @@ def span_text(tokens: Column) -> Column:
     return text.join_tokens(F.transform(said, lambda t: t["cased"]))
 
 
+def sentences(tokens: Column) -> Column:
+    """The tokens of each sentence of a span, null for none; see ``utterances``."""
+
+    def bounds(said: Column) -> Column:
+        """(last, start) of every cut: the place of the last word or mark before it and of the word after it."""
+        n = F.greatest(F.size(said) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(said, 1, n), F.slice(said, 2, n), lambda prev, own: F.when(prev["stop"] & own["word"], F.struct(prev["at"].alias("last"), own["at"].alias("start"))))
+        return F.filter(pairs, lambda b: b.isNotNull())
+
+    def parts(x: Column) -> Column:
+        stop = lambda t: F.coalesce((t["kind"] == "punct") & t["cased"].rlike("[.!?…]"), F.lit(False))
+        said = F.filter(F.transform(x, lambda t, i: F.struct(i.alias("at"), (t["kind"] == "word").alias("word"), stop(t).alias("stop"), t["kind"].alias("kind"))), lambda t: t["kind"] != "silence")
+        begin, end = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("start")), F.struct((F.size(x) - 1).alias("last"), F.size(x).alias("start"))
+        return F.flatten(F.transform(F.array(said), lambda s: F.flatten(F.transform(F.array(bounds(s)), lambda b: pieces(x, F.concat(F.array(begin), b), F.concat(b, F.array(end)))))))
+
+    def half(t: Column) -> Column:
+        return F.floor(t["len"] / 2).cast("long")
+
+    def pieces(x: Column, begins: Column, ends: Column) -> Column:
+        """Of a silence between two sentences the first gets one half and the second the other."""
+
+        def between(b: Column) -> Column:
+            return F.slice(x, b["last"] + 2, b["start"] - b["last"] - 1)
+
+        def piece(b: Column, e: Column) -> Column:
+            opening = F.transform(between(b), lambda t: t.withField("begin", t["begin"] + half(t)).withField("len", t["len"] - half(t)).withField("place", F.lit(2)))
+            closing = F.transform(between(e), lambda t: t.withField("len", half(t)))
+            return F.concat(opening, F.slice(x, b["start"] + 1, e["last"] - b["start"] + 1), closing)
+
+        return F.zip_with(begins, ends, piece)
+
+    # arrays of one element bind what is used several times
+    return F.flatten(F.transform(F.filter(F.array(tokens), lambda x: F.size(x) > 0), parts))
+
+
 def utterances(spans: DataFrame) -> DataFrame:
     """Spans cut into sentences, numbered from 1, each with its tokens; a sentence ends with the run of
-    marks that holds . ! ? or …. A silence between two sentences is halved between them."""
-    indexed = spans.select("slug", "excerpt", "verse", F.posexplode("tokens").alias("at", "t"))
-    w = Window.partitionBy("slug", "excerpt").orderBy("at")
-    said = F.col("t.kind") != "silence"
-    stop = (F.col("t.kind") == "punct") & F.col("t.cased").rlike("[.!?…]")
-    last_said = F.last(F.when(said, F.struct(F.col("t.kind").alias("kind"), stop.alias("stop"))), ignorenulls=True)
-    flagged = indexed.withColumn("prev", last_said.over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    begins = said & (F.col("t.kind") == "word") & F.coalesce(F.col("prev.stop"), F.lit(False))
-    numbered = flagged.withColumn("utterance_num", 1 + F.sum(F.when(begins, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = F.first(F.when(said, F.col("utterance_num")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    split = numbered.withColumn("next_num", ahead)
-    between = ~said & F.col("next_num").isNotNull() & (F.col("next_num") > F.col("utterance_num"))
-    half = F.floor(F.col("t.len") / 2).cast("long")
-    first = F.struct(F.col("utterance_num").alias("n"), F.col("t").withField("len", half).alias("t"))
-    second = F.struct(F.col("next_num").alias("n"), F.col("t").withField("begin", F.col("t.begin") + half).withField("len", F.col("t.len") - half).withField("place", F.lit(2)).alias("t"))
-    parts = split.select("slug", "excerpt", "verse", "at", F.explode(F.when(between, F.array(first, second)).otherwise(F.array(F.struct(F.col("utterance_num").alias("n"), F.col("t").alias("t"))))).alias("p"))
-    out = parts.groupBy("slug", "excerpt", F.col("p.n").cast("int").alias("utterance_num")).agg(F.first("verse").alias("verse"), F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("p.t").alias("t")))), lambda x: x["t"]).alias("tokens"))
+    marks that holds . ! ? or …. A silence between two sentences is halved between them. A span is cut
+    where it lies, in steps that grow with its length."""
+    cut = spans.select("slug", "excerpt", "verse", F.posexplode(sentences(F.col("tokens"))).alias("at", "tokens"))
+    out = cut.select("slug", "excerpt", (F.col("at") + 1).alias("utterance_num"), "verse", "tokens")
     n_samples = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(t["len"], F.lit(0)))
     punctuated = span_text(F.col("tokens"))
     return out.withColumn("n_samples", n_samples).withColumn("punctuated_text", punctuated).withColumn("unpunctuated_text", text.normalize_text(F.col("punctuated_text")))
